@@ -33,6 +33,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 NET_COLUMNS = ["net_price", "l_extendedprice", "l_discount", "l_quantity"]
 TRAIN_RATIO = 0.8
 SMALL = ForestOptions(trees=20, depth=6)
+# net_price has three features; each split may use all of them.
+NET = ForestOptions(trees=20, depth=6, subset="all")
 
 
 def _net_price_csv(spark: SparkSession, data_dir: str, name: str = "net_price") -> str:
@@ -238,7 +240,7 @@ def _tag(df: DataFrame, **cols) -> DataFrame:
 
 def q_train_regression(spark, d):
     """M1/M9: fixed-size regression forest, test figures."""
-    r = train(fx.net_price(spark, d), SMALL)
+    r = train(fx.net_price(spark, d), NET)
     return _tag(r.metrics, fixture="net_price")
 
 
@@ -292,7 +294,7 @@ def q_tune_bins(spark, d):
 
 def q_refit_full(spark, d):
     """The model refit on all rows, summarised from its own fields."""
-    r = train(fx.net_price(spark, d), SMALL)
+    r = train(fx.net_price(spark, d), NET)
     return model_summary(r.final, spark)
 
 
@@ -305,7 +307,7 @@ def q_model_summary(spark, d):
 def q_score_batch(spark, d):
     """Save, load, score the test side with its keys."""
     f = fx.net_price(spark, d)
-    r = train(f, SMALL, refit=False)
+    r = train(f, NET, refit=False)
     path = save_model(r.model, scratch_path(spark, "model_net_price"))
     loaded = load_model(path)
     _, test = holdout_split(prepare(f), f.key, TRAIN_RATIO)
@@ -323,7 +325,7 @@ def q_score_probability(spark, d):
 def q_sample_predictions(spark, d):
     """First five scored test rows with their label and features."""
     f = fx.net_price(spark, d)
-    r = train(f, SMALL, refit=False)
+    r = train(f, NET, refit=False)
     _, test = holdout_split(prepare(f), f.key, TRAIN_RATIO)
     return sample_predictions(r.model, test, "label", ["l_orderkey", "l_linenumber"], 5)
 
@@ -345,7 +347,7 @@ def q_stream_score(spark, d):
     from grove.streaming.score_stream import score_stream
 
     f = fx.net_price(spark, d)
-    r = train(f, SMALL, refit=False)
+    r = train(f, NET, refit=False)
     src = scratch_path(spark, "stream_in")
     _, test = holdout_split(f.frame, f.key, TRAIN_RATIO)
     test.write.mode("overwrite").parquet(src)
