@@ -9,10 +9,12 @@ forest, CrossValidator with a hashed fold column, and the metric aggregates.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
+from pyspark.util import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import (BinaryClassificationEvaluator,
@@ -30,6 +32,7 @@ from grove.operators.features import with_class_weights
 from grove.operators.split import holdout_split, with_folds
 from grove.plans.fixtures import Fixture
 from grove.session import checkpoint_dir
+from grove.sources.tables import spread
 
 TASKS = ("regression", "binary", "multiclass")
 LABEL, FEATURES, PREDICTION = "label", "features", "prediction"
@@ -258,7 +261,7 @@ def train(fx: Fixture, opts: ForestOptions = ForestOptions(), train_ratio: float
     data, train_df, test_df = _training_frames(fx, train_ratio, external, tolerant)
     cached = []
     if persist:
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        data = spread(data).persist(StorageLevel.MEMORY_AND_DISK)
         cached.append(data)
         if external is None:
             train_df, test_df = holdout_split(data, fx.key, train_ratio)
@@ -266,15 +269,24 @@ def train(fx: Fixture, opts: ForestOptions = ForestOptions(), train_ratio: float
             train_df = data
     train_w, weight = _weights(fx, opts, train_df)
     pipeline, _ = build_pipeline(fx, opts, train_w, weight)
-    model = pipeline.fit(train_w)
-    scored = model.transform(test_df)
-    final = None
     if refit:
+        # The two fits are independent: run them as concurrent jobs (as
+        # CrossValidator's ``parallelism`` does) so one fills the cores the
+        # other leaves idle between tree levels.
         all_w, _ = _weights(fx, opts, data)
-        final = pipeline.fit(all_w)
+        model, final = _fit_concurrently(pipeline, [train_w, all_w])
+    else:
+        model, final = pipeline.fit(train_w), None
+    scored = model.transform(test_df)
     return TrainResult(model, scored, evaluate(scored, fx.task), final, cached=cached)
 
 
+def _fit_concurrently(pipeline: Pipeline, frames: list[DataFrame]) -> list[PipelineModel]:
+    with ThreadPoolExecutor(max_workers=len(frames)) as pool:
+        fit = inheritable_thread_target(frames[0].sparkSession)(pipeline.fit)
+        return list(pool.map(fit, frames))
+
+
 def tune(fx: Fixture, opts: ForestOptions, folds: int = 3, train_ratio: float = 0.8,
          parallelism: int = 2, external: Fixture | None = None, tolerant: bool = False,
          refit: bool = True, persist: bool = True) -> TrainResult:
@@ -286,7 +298,7 @@ def tune(fx: Fixture, opts: ForestOptions, folds: int = 3, train_ratio: float =
     data, train_df, test_df = _training_frames(fx, train_ratio, external, tolerant)
     cached = []
     if persist:
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        data = spread(data).persist(StorageLevel.MEMORY_AND_DISK)
         cached.append(data)
         train_df, test_df = ((data, test_df) if external is not None
                              else holdout_split(data, fx.key, train_ratio))

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grove.sources.tables import table
+from grove.sources.tables import spread, table
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,7 @@ def text_features(text: Column) -> list[Column]:
 
 def doc_quality(spark: SparkSession, sf_dir: str) -> Fixture:
     """Binary: quality label of a document from its length and word statistics."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    docs = table(spark, sf_dir, "documents", spread_out=True).select("doc_id", "text", "n_chars")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     # Plain equi-join: AQE broadcasts the labels side at run time only when its
     # measured size is under the threshold, otherwise it sort-merges.
@@ -90,7 +90,7 @@ def letter_share(text: Column, letter: str) -> Column:
 def doc_lang(spark: SparkSession, sf_dir: str) -> Fixture:
     """Multiclass: language of a non-empty document from its letter shares."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    docs = docs.where(F.length(F.trim("text")) > 0)
+    docs = spread(docs.where(F.length(F.trim("text")) > 0))
     names = [f"share_{i:02d}" for i in range(len(LANG_LETTERS))]
     frame = docs.select("doc_id", "lang",
                         *[letter_share(F.col("text"), c).alias(n)
@@ -152,7 +152,7 @@ def wide_docs(spark: SparkSession, sf_dir: str, width: int = WIDE_FEATURES) -> F
     """
     from pyspark.ml.feature import HashingTF, RegexTokenizer
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    docs = table(spark, sf_dir, "documents", spread_out=True).select("doc_id", "text", "n_chars")
     tokens = RegexTokenizer(inputCol="text", outputCol="tokens", pattern=r"\W+",
                             toLowercase=True).transform(docs)
     hashed = HashingTF(inputCol="tokens", outputCol="token_counts",

@@ -365,6 +365,53 @@ def q_wide_regression(spark, d):
     return r.metrics
 
 
+def q_pipeline_roundtrip(spark, d):
+    """The unfitted pipeline saved beside the model, loaded, refit."""
+    from grove.operators.forest import build_pipeline, evaluate
+    from grove.sinks.store import load_pipeline, save_pipeline
+
+    f = fx.doc_lang(spark, d)
+    train_df, test_df = holdout_split(prepare(f), f.key, TRAIN_RATIO)
+    pipeline, _ = build_pipeline(f, SMALL, train_df)
+    loaded = load_pipeline(save_pipeline(pipeline, scratch_path(spark, "pipeline_doc_lang")))
+    return evaluate(loaded.fit(train_df).transform(test_df), f.task)
+
+
+def q_train_from_vector(spark, d):
+    """The reference's six-value option vector, min rows per node applied."""
+    opts = ForestOptions.from_vector(["5", "6", "Entropy", "Uniform", "20", "Sqrt"])
+    r = train(fx.doc_lang(spark, d), opts, refit=False)
+    return _tag(r.metrics, min_rows=opts.min_rows, subset=opts.subset)
+
+
+def q_score_delimited(spark, d):
+    """R2 (scorer, frame path): a header CSV with the training columns minus
+    the response, scored by a loaded pipeline."""
+    f = fx.net_price(spark, d)
+    r = train(f, NET, refit=False)
+    loaded = load_model(save_model(r.model, scratch_path(spark, "model_scoring")))
+    _, test = holdout_split(f.frame, f.key, TRAIN_RATIO)
+    path = write_delimited(test.select("l_orderkey", "l_linenumber", *f.features),
+                           scratch_path(spark, "to_score"))
+    return score(loaded, read_table(spark, path), keep=["l_orderkey", "l_linenumber"])
+
+
+def q_score_bracketed(spark, d):
+    """R1 (scorer, vector path): ``[a;b;c]`` lines without header parsed to
+    vectors and scored by the forest stage alone."""
+    from grove.operators.forest import forest_stage
+
+    f = fx.net_price(spark, d)
+    r = train(f, NET, refit=False)
+    _, test = holdout_split(f.frame, f.key, TRAIN_RATIO)
+    line = F.concat(F.lit("["), F.concat_ws(";", *[F.col(c).cast("string") for c in f.features]),
+                    F.lit("]"))
+    path = scratch_path(spark, "to_score_bracketed")
+    test.select(line.alias("value")).write.mode("overwrite").text(path)
+    vectors = parse_bracketed(spark, path).select("features")
+    return forest_stage(r.model).transform(vectors).select("prediction")
+
+
 QUERIES: dict[str, Query] = {
     "scan_delimited": q_scan_delimited,
     "cast_target": q_cast_target,
@@ -407,5 +454,9 @@ QUERIES: dict[str, Query] = {
     "sample_predictions": q_sample_predictions,
     "model_roundtrip": q_model_roundtrip,
     "stream_score": q_stream_score,
+    "pipeline_roundtrip": q_pipeline_roundtrip,
+    "train_from_vector": q_train_from_vector,
+    "score_delimited": q_score_delimited,
+    "score_bracketed": q_score_bracketed,
     "wide_regression": q_wide_regression,
 }

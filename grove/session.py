@@ -30,6 +30,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("GROVE_DRIVER_MEMORY", "16g"))
         .config("spark.serializer", "org.apache.spark.serializer.KryoSerializer")
+        # Throughput collector: forest training allocates many short-lived histograms.
+        .config("spark.driver.extraJavaOptions", "-XX:+UseParallelGC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

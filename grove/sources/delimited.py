@@ -55,19 +55,35 @@ def drop_header_copies(df: DataFrame) -> DataFrame:
 
 
 def infer_types(df: DataFrame) -> T.StructType:
-    """Narrowest of int / bigint / double / string per text column, in one aggregate."""
+    """Narrowest of int / bigint / double / string per text column, in one aggregate.
+
+    A regex decides integral text first, so casts that would fail (and cost an
+    exception per value) are never attempted.
+    """
+    int_text = r"^\s*[+-]?[0-9]+\s*$"
     checks = []
     for i, c in enumerate(df.columns):
         col = F.col(f"`{c}`")
-        for j, typ in enumerate(("int", "bigint", "double")):
-            ok = col.isNull() | col.try_cast(typ).isNotNull()
-            checks.append(F.bool_and(ok).alias(f"_{i}_{j}"))
+        integral = col.rlike(int_text)
+        as_long = F.when(integral, col.try_cast("bigint"))
+        checks += [
+            F.bool_and(col.isNull() | (integral & as_long.isNotNull())).alias(f"_{i}_long"),
+            F.min(as_long).alias(f"_{i}_min"),
+            F.max(as_long).alias(f"_{i}_max"),
+            F.bool_and(col.isNull() | integral | col.try_cast("double").isNotNull()).alias(f"_{i}_dbl"),
+        ]
     row = df.agg(*checks).first()
     fields = []
     for i, c in enumerate(df.columns):
-        flags = [row[f"_{i}_{j}"] for j in range(3)]
-        typ = (T.IntegerType() if flags[0] else T.LongType() if flags[1]
-               else T.DoubleType() if flags[2] else T.StringType())
+        is_long, lo, hi, is_dbl = (row[f"_{i}_{k}"] for k in ("long", "min", "max", "dbl"))
+        if is_long and lo is not None and -2**31 <= lo and hi < 2**31:
+            typ = T.IntegerType()
+        elif is_long and lo is not None:
+            typ = T.LongType()
+        elif is_dbl and (lo is not None or is_long is False):
+            typ = T.DoubleType()
+        else:
+            typ = T.StringType()
         fields.append(T.StructField(c, typ, True))
     return T.StructType(fields)
 
