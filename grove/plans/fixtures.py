@@ -34,7 +34,7 @@ def net_price_expr() -> Column:
 
 def net_price(spark: SparkSession, sf_dir: str) -> Fixture:
     """Regression: net price of a line from its price, discount and quantity."""
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem", spread_out=True)
     frame = li.select("l_orderkey", "l_linenumber",
                       net_price_expr().alias("net_price"),
                       "l_extendedprice", "l_discount", "l_quantity")
