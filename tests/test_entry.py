@@ -41,3 +41,15 @@ def test_query_matches_oracle(spark, con, name):
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) == len(want)
     assert _norm(got) == _norm(want)
+
+
+def test_model_roundtrip_all_equal(spark):
+    row = E.queries()["model_roundtrip"](spark, "/root/testdata/sf0.001").first()
+    assert row.n_rows > 0 and row.n_equal == row.n_rows
+
+
+def test_stream_score_covers_test_side(spark):
+    d = "/root/testdata/sf0.001"
+    streamed = E.queries()["stream_score"](spark, d)
+    batch = E.queries()["score_batch"](spark, d)
+    assert streamed.count() == batch.count() > 0
