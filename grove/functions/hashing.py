@@ -35,7 +35,7 @@ def split_bucket(keys: str | Sequence[str]) -> Column:
     return _digest_slice(keys, 1) % BUCKETS
 
 
-def test_threshold(train_ratio: float) -> int:
+def side_limit(train_ratio: float) -> int:
     """Buckets below this value are the test side."""
     if not 0.0 <= train_ratio <= 1.0:
         raise ValueError(f"train_ratio must be in [0, 1], got {train_ratio}")
@@ -43,7 +43,7 @@ def test_threshold(train_ratio: float) -> int:
 
 
 def is_test(keys: str | Sequence[str], train_ratio: float) -> Column:
-    return split_bucket(keys) < F.lit(test_threshold(train_ratio))
+    return split_bucket(keys) < F.lit(side_limit(train_ratio))
 
 
 def fold_of(keys: str | Sequence[str], folds: int) -> Column:

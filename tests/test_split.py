@@ -36,7 +36,7 @@ def test_one_fold_rejected(spark):
 
 
 def test_ratio_bounds():
-    from grove.functions.hashing import test_threshold
-    assert test_threshold(0.8) == 2000 and test_threshold(1.0) == 0
+    from grove.functions.hashing import side_limit
+    assert side_limit(0.8) == 2000 and side_limit(1.0) == 0
     with pytest.raises(ValueError):
-        test_threshold(1.5)
+        side_limit(1.5)
