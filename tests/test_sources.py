@@ -77,3 +77,21 @@ def test_declared_schema_skips_inference(spark, tmp_dir):
     p = _write(f"{tmp_dir}/sc/a.csv", "y;a\n1;2\n")
     df = read_table(spark, p, schema="y double, a double")
     assert df.dtypes == [("y", "double"), ("a", "double")]
+
+
+def test_infer_types_narrowest(spark, tmp_dir):
+    from grove.sources.delimited import infer_types
+    p = _write(f"{tmp_dir}/it/a.csv", "i;l;d;s;n\n1;3000000000;1.5;x;\n-2;4;2;y;\n")
+    raw = read_table(spark, p, infer=False)
+    got = {f.name: f.dataType.simpleString() for f in infer_types(raw).fields}
+    assert got == {"i": "int", "l": "bigint", "d": "double", "s": "string", "n": "string"}
+
+
+def test_spread_only_when_too_few_partitions(spark):
+    from grove.sources.tables import spread
+    wide = spark.range(0, 1000, numPartitions=16)
+    assert spread(wide, 8) is wide
+    narrow = spark.range(0, 1000, numPartitions=1)
+    spread_out = spread(narrow, 8)
+    assert spread_out.rdd.getNumPartitions() == 8
+    assert sorted(r.id for r in spread_out.collect()) == list(range(1000))
