@@ -32,21 +32,27 @@ CACHE_WORDS = 600_000
 
 @dataclass(frozen=True)
 class Band:
-    """What a clean text of a language or script may measure (inclusive)."""
+    """What a clean text of a language or script may measure (inclusive).
+
+    Measures of short texts scatter more, and their entropy is lower: a lower bound is
+    reduced by its spread divided by the square root of the text's words.
+    """
 
     min_chars_per_token: float
     max_chars_per_token: float
     max_byte_share: float
     min_entropy: float
+    chars_spread: float = 0.0
+    entropy_spread: float = 0.0
 
 
 #: Bands by language, then by script; ``""`` is every other script.
 BANDS: dict[str, Band] = {
-    "en": Band(1.65, 8.0, 0.05, 4.5),
-    "de": Band(1.55, 8.0, 0.05, 4.5),
-    "fr": Band(1.50, 8.0, 0.05, 4.5),
-    "es": Band(1.50, 8.0, 0.05, 4.5),
-    "Latn": Band(1.45, 9.0, 0.10, 4.0),
+    "en": Band(2.20, 8.0, 0.05, 6.75, 9.0, 11.5),
+    "de": Band(2.05, 8.0, 0.05, 6.58, 9.0, 11.5),
+    "fr": Band(1.90, 8.0, 0.05, 6.52, 9.0, 11.5),
+    "es": Band(1.85, 8.0, 0.05, 6.65, 9.0, 11.5),
+    "Latn": Band(1.40, 9.0, 0.10, 4.0),
     "Grek": Band(0.40, 5.0, 0.30, 3.5),
     "Cyrl": Band(0.40, 5.0, 0.30, 3.5),
     "": Band(0.20, 9.0, 0.90, 3.0),
@@ -211,9 +217,13 @@ def measure_fertility(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
 
 
 def _in_band(band: Band):
-    return (F.col("chars_per_token").between(band.min_chars_per_token, band.max_chars_per_token)
+    root = F.sqrt(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))
+    return ((F.col("chars_per_token") >= F.lit(band.min_chars_per_token)
+             - F.lit(band.chars_spread) / root)
+            & (F.col("chars_per_token") <= band.max_chars_per_token)
             & (F.col("byte_share") <= band.max_byte_share)
-            & (F.col("token_entropy") >= band.min_entropy))
+            & (F.col("token_entropy") >= F.lit(band.min_entropy)
+               - F.lit(band.entropy_spread) / root))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str | None = "lang",
