@@ -139,3 +139,11 @@ def tokenizer_file(name: str) -> str:
 def crc_bucket(col: str, n: int):
     """crc32 of the column's text form, modulo n (folds that any engine can repeat)."""
     return F.crc32(F.col(col).cast("string")) % F.lit(n)
+
+
+def hash_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
+    """About ``rows`` of the ``total`` rows, chosen by a hash of the key (the same ones
+    on every run and layout), never more than twice as many."""
+    span = 1 << 30
+    share = min(span, -(-rows * span // max(total, 1)))
+    return df.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(span)) < share).limit(2 * rows)
