@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from grove.llm import (bpe, common, decontam, fertility, html_density, packed_ids, url_trie)
+from grove.llm import (bpe, common, decontam, fertility, html_density, langid, ngram_join,
+                       packed_ids, pu_quality, url_trie)
 
 load = common.load
 
@@ -38,6 +40,26 @@ def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.read_ids(files, whole=False).withColumnRenamed("key", "doc_id")
 
 
+def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    held = common.crc_bucket("doc_id", 3) == 1
+    model = pu_quality.fit(docs, load(spark, sf_dir, "labels", "doc_id", "quality"), ~held)
+    return pu_quality.score_quality(docs, model, keep=("doc_id",)).select(
+        "doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held = common.crc_bucket("doc_id", 5) == 0
+    model = langid.fit(docs, ~held)
+    return langid.predict(docs, model, keep=("doc_id",)).select(
+        "doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents", "doc_id", "text")
     found = decontam.find_contamination(docs, load(spark, sf_dir, "benchmark", "item_id", "text"),
@@ -53,5 +75,6 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_fertility, op2_url_trie, op3_bpe, op5_packed_ids, op9_decontaminate, op10_main_text)
+        op1_fertility, op2_url_trie, op3_bpe, op5_packed_ids, op6_pu_quality,
+        op7_ngram_jaccard, op8_language_id, op9_decontaminate, op10_main_text)
 }
