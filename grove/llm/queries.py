@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grove.llm import (bpe, common, decontam, fertility, html_density, langid, ngram_join,
-                       packed_ids, pu_quality, url_trie)
+from grove.llm import (bpe, common, decontam, fertility, html_density, langid, license_scan,
+                       ngram_join, packed_ids, pu_quality, url_trie)
 
 load = common.load
 
@@ -34,6 +34,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, keep=("doc_id",), digests=True)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    return license_scan.scan_licenses(docs).drop("spans")
+
+
 def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents", "doc_id", "text")
     files = packed_ids.write_ids(docs, packed_ids.fresh_folder(spark))
@@ -75,6 +80,6 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_fertility, op2_url_trie, op3_bpe, op5_packed_ids, op6_pu_quality,
-        op7_ngram_jaccard, op8_language_id, op9_decontaminate, op10_main_text)
+        op1_fertility, op2_url_trie, op3_bpe, op4_license_scan,
+        op5_packed_ids, op6_pu_quality, op7_ngram_jaccard, op8_language_id, op9_decontaminate, op10_main_text)
 }
