@@ -7,18 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grove.llm import bpe, decontam, fertility
-from grove.llm.common import load, shared_table
+from grove.llm import bpe, decontam, fertility, langid, ngram_join
+from grove.llm.common import crc_bucket, load, shared_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model, fitted on labelled rows of four hash folds of
+    five, does not reject.  Without a labelled row there is no model and nothing is judged."""
+    model = langid.fit(docs, crc_bucket("doc_id", 5) != 0)
+    if model is None:
+        return docs.select(*COLUMNS)
+    return langid.predict(docs, model).where(~F.col("rejected")).select(*COLUMNS)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the tokeniser fertility rules keep."""
     return fertility.quality_rules(docs).where("kept").select(*COLUMNS)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least doc_id of each group of near duplicates (five words, 0.8)."""
+    return ngram_join.keep_first(docs, n=5, percent=80).select(*COLUMNS)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     found = decontam.find_contamination(docs, load(spark, sf_dir, "benchmark"))
@@ -31,7 +45,9 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_stage),
     ("quality_rules", quality_stage),
+    ("ngram_jaccard", near_duplicate_stage),
     ("decontamination", decontamination_stage),
     ("bpe", encoding_stage),
 ]

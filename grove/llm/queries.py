@@ -81,5 +81,6 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_fertility, op2_url_trie, op3_bpe, op4_license_scan,
-        op5_packed_ids, op6_pu_quality, op7_ngram_jaccard, op8_language_id, op9_decontaminate, op10_main_text)
+        op5_packed_ids, op6_pu_quality, op7_ngram_jaccard, op8_language_id, op9_decontaminate,
+        op10_main_text)
 }
