@@ -9,8 +9,8 @@ block are multiplied: their overlap is accumulated block of columns after block,
 is discarded as soon as overlap plus what is left cannot reach the bound of its sizes.
 
 Only connectivity is wanted, so a block shared by many rows is first multiplied with two
-of its rows alone; rows that this already connects are not compared again, and what is
-left of the block across components is compared in full.  No pair is capped or sampled.
+of its rows alone, a few times over; rows that this already connects are not compared again,
+and what is left of the block across components is compared in full.  No pair is capped or sampled.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ BAND_RATIO = 1.4
 #: Column ranges over which an overlap is accumulated between two checks of its bound.
 COLUMN_RANGES = 8
 MAX_ROUNDS = 60
+#: Times that the open blocks are multiplied with two of their rows before the full product.
+STAR_ROUNDS = 4
 
 
 def size_bands(limit: int) -> np.ndarray:
@@ -69,8 +71,10 @@ def ngram_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
 def block_signatures(h: np.ndarray, percent: int, bands: np.ndarray) -> np.ndarray:
     """One hash for each column block of each band the set takes part in.
 
-    An empty block is left out where the set has more filled blocks than it can have
-    differences to a partner: a filled one is then shared as well.
+    There are half as many blocks again as a pair can have differences, and only the fullest
+    ones count: the largest ``c`` such that more blocks hold ``c`` n-grams or over than the set
+    can differ in.  Of two linked sets, the one with the larger ``c`` has such a block in
+    common with the other, which the other's smaller ``c`` admits too.
     """
     size = h.size
     out = []
@@ -82,15 +86,16 @@ def block_signatures(h: np.ndarray, percent: int, bands: np.ndarray) -> np.ndarr
             break
         top = int(bands[band + 1]) - 1
         most = 2 * top * rest // whole                      # differences within the band
-        k = most + most // 16 + 1
+        k = most + most // 2 + 1
         own = (size + min(top, 100 * size // percent)) * rest // whole
         cuts = (np.arange(k + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(k)
         at = np.searchsorted(h >> np.uint64(32), cuts)
         sig = sums[at[1:]] - sums[at[:-1]]
         sig = _mix(sig ^ _mix((np.uint64(band) << np.uint64(40))
                               + np.arange(1, k + 1, dtype=np.uint64)))
-        filled = at[1:] > at[:-1]
-        out.append(sig[filled] if filled.sum() > own else sig)
+        filled = np.diff(at)
+        c = np.partition(filled, k - own - 1)[k - own - 1]
+        out.append(sig[filled >= c])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -272,14 +277,20 @@ def _links(docs, text, key, classes, n, percent, largest) -> DataFrame | None:
     members = shared.select("set_id").distinct()
     sets = shared_table(_sets(docs, text, key, classes.join(members, "set_id", "left_semi"), n)
                         .dropDuplicates(["set_id"]), "ngram-sets")
-    first = shared_table(_multiply(star, sets, percent), "ngram-links")
-    root = components(first)
-    placed = (shared.select("sig", "set_id", "size")
-              .join(root.withColumnRenamed("node", "set_id"), "set_id", "left")
-              .withColumn("root", F.coalesce("root", "set_id")))
-    open_ = (placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"))
-             .where("x <> y").select("sig"))
-    left = shared_table(placed.join(open_, "sig"), "ngram-open")
+    done = shared_table(_multiply(star, sets, percent), "ngram-links")
+    for turn in range(1, STAR_ROUNDS):
+        left = _open_blocks(shared, done)
+        order = F.struct(F.xxhash64("set_id", F.lit(turn)), "set_id", "root")
+        heads = left.groupBy("sig").agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
+        star = (left.join(heads, "sig").withColumn("h", F.explode(F.array("lo", "hi")))
+                .where("root <> h.root")
+                .select(F.least("set_id", "h.set_id").alias("a"),
+                        F.greatest("set_id", "h.set_id").alias("b")).distinct())
+        more = shared_table(_multiply(star, sets, percent), "ngram-links")
+        if more.isEmpty():
+            break
+        done = done.unionByName(more)
+    left = _open_blocks(shared, done)
     a = left.select("sig", F.col("set_id").alias("a"), F.col("root").alias("ra"),
                     F.col("size").alias("na"))
     b = left.select("sig", F.col("set_id").alias("b"), F.col("root").alias("rb"),
@@ -287,8 +298,19 @@ def _links(docs, text, key, classes, n, percent, largest) -> DataFrame | None:
     rest = (a.join(b, "sig")
             .where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
                    & (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")))
-            .select("a", "b").distinct().join(star, ["a", "b"], "left_anti"))
-    return first.unionByName(shared_table(_multiply(rest, sets, percent), "ngram-rest"))
+            .select("a", "b").distinct())
+    return done.unionByName(shared_table(_multiply(rest, sets, percent), "ngram-rest"))
+
+
+def _open_blocks(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """Members (sig, set_id, size, root) of the blocks whose members the links have not
+    brought into one component."""
+    placed = (shared.select("sig", "set_id", "size")
+              .join(components(links).withColumnRenamed("node", "set_id"), "set_id", "left")
+              .withColumn("root", F.coalesce("root", "set_id")))
+    apart = (placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"))
+             .where("x <> y").select("sig"))
+    return shared_table(placed.join(apart, "sig"), "ngram-open")
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5,
