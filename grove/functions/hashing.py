@@ -15,13 +15,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BUCKETS = 10_000
+#: Stands for a null key part, so that a null key has a side and a fold like any other.
+NULL_KEY = "\x00null"
 
 
 def _key_text(keys: str | Sequence[str]) -> Column:
-    """Keys as text; several key columns are joined with '|'."""
+    """Keys as text; several key columns are joined with '|'; a null part counts as
+    NULL_KEY, so no row is lost and no part skipped."""
     if isinstance(keys, str):
         keys = [keys]
-    parts = [F.col(k).cast("string") for k in keys]
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit(NULL_KEY)) for k in keys]
     return parts[0] if len(parts) == 1 else F.concat_ws("|", *parts)
 
 

@@ -47,7 +47,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
-    # Unset: only in local runs and tests.
+    # Unset: only in local runs and tests; executors elsewhere would not see the folder.
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="grove-ckpt-"))
     return sc.getCheckpointDir()
 

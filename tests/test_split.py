@@ -40,3 +40,15 @@ def test_ratio_bounds():
     assert side_limit(0.8) == 2000 and side_limit(1.0) == 0
     with pytest.raises(ValueError):
         side_limit(1.5)
+
+
+def test_null_keys_stay(spark):
+    from grove.operators.split import holdout_split, with_folds, with_side
+
+    df = spark.range(1000).selectExpr("if(id % 10 = 0, null, id) AS k", "id % 3 AS j", "id")
+    for key in ("k", ["k", "j"]):
+        train, test = holdout_split(df, key, 0.7)
+        sides = {r.side: r["count"] for r in with_side(df, key, 0.7).groupBy("side").count().collect()}
+        assert train.count() + test.count() == 1000
+        assert sides == {"train": train.count(), "test": test.count()}
+        assert with_folds(df, key, 3).where("fold is null").count() == 0
