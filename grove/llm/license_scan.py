@@ -94,27 +94,24 @@ def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id",
     votes = (hits.groupBy(*same, (F.col("p") - F.col("q")).alias("diagonal"))
              .agg(F.collect_set("q").alias("qs")))
     # phrases: the whole template on one diagonal; templates: neighbouring diagonals together
-    placed = votes.where("base and size(qs) = pairs").groupBy("_key", "_th").agg(
-        F.count("*").alias("n_base"), F.min("diagonal").cast("long").alias("first_word"),
-        F.max("diagonal").cast("long").alias("last_word"),
-        F.collect_set("label").alias("_base"))
     line = Window.partitionBy("_key", "_th", "template").orderBy("diagonal")
     step = F.col("diagonal") - F.lag("diagonal").over(line)
-    spans = (votes.where("not base")
-             .withColumn("_new", F.when(step <= gap, 0).otherwise(1))
+    spans = (votes.withColumn("_new", F.when(~F.col("base") & (step <= gap), 0).otherwise(1))
              .withColumn("span", F.sum("_new").over(line))
              .groupBy(*same, "span")
              .agg(F.min("diagonal").cast("long").alias("start"),
                   F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"))
              .withColumn("cover", F.size("qs") / F.col("pairs"))
-             .where(F.col("cover") >= min_cover))
-    extra = spans.groupBy("_key", "_th").agg(
-        F.collect_set("label").alias("_more"), F.max("cover").alias("_cover"),
-        F.sort_array(F.collect_list(F.struct("label", "start", "cover"))).alias("spans"))
-    found = (placed.withColumn("_kind", F.lit(0)).unionByName(
-        extra.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
-        .groupBy("_key", "_th").agg(*[F.max(c).alias(c) for c in (
-            "n_base", "first_word", "last_word", "_base", "_more", "_cover", "spans")]))
+             .where(F.col("cover") >= F.when(F.col("base"), 1.0).otherwise(min_cover)))
+    phrase = F.col("base")
+    found = spans.groupBy("_key", "_th").agg(
+        F.count_if(phrase).alias("n_base"), F.min(F.when(phrase, F.col("start"))).alias("first_word"),
+        F.max(F.when(phrase, F.col("start"))).alias("last_word"),
+        F.collect_set(F.when(phrase, F.col("label"))).alias("_base"),
+        F.collect_set(F.when(~phrase, F.col("label"))).alias("_more"),
+        F.max(F.when(~phrase, F.col("cover"))).alias("_cover"),
+        F.sort_array(F.collect_list(F.when(~phrase, F.struct("label", "start", "cover"))))
+        .alias("spans"))
     none = F.array().cast("array<string>")
     f = found.select(F.col("_key").alias("_fk"), F.col("_th").alias("_ft"),
                      *[c for c in found.columns if c not in ("_key", "_th")])
