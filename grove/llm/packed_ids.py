@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from grove.llm.common import RecentWords, offsets, slices, tokenizer_file
+from grove.llm.common import WordIndex, offsets, ranges, slices, tokenizer_file
 from grove.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -42,8 +42,8 @@ MAGIC = b"GRVIDS01"
 BLOCK_IDS = 4096
 #: A task starts another file beyond this many ids (64 MB of 16-bit ids).
 FILE_IDS = 32 << 20
-#: Distinct words whose ids a worker keeps, in each of two generations.
-CACHE_WORDS = 250_000
+#: Distinct words whose ids a worker keeps before it starts anew.
+CACHE_WORDS = 400_000
 
 _FOOTER = np.dtype([("ids", "<u8"), ("docs", "<u8"), ("bits", "<u4"), ("block", "<u4")])
 
@@ -96,47 +96,94 @@ def unpack(raw: bytes, count: int, bits: int) -> np.ndarray:
 
 # -- encoding ----------------------------------------------------------------
 
-#: White space whose surroundings the word cut below does not cover, or a special token.
-_ODD = re.compile(
-    rb"[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f]|<\||\xc2[\x85\xa0]|\xe1\x9a\x80"
-    rb"|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\A[ \n]|[ \n]\Z")
+#: White space that the word cut below does not cover.
+_ODD_ASCII = b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_ODD_WIDE = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
+_ODD_PARTS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 _WORD = re.compile(rb" ?[^ \n]+|\n")
 
 
+def _odd(t: bytes) -> bool:
+    """Whether a text has white space whose surroundings the word cut does not cover, or
+    what may be a special token."""
+    return (b"  " in t or b"\n\n" in t or b" \n" in t or b"\n " in t or b"<|" in t
+            or t[:1] in (b" ", b"\n") or t[-1:] in (b" ", b"\n")
+            or len(t.translate(None, _ODD_ASCII)) != len(t)
+            or not t.isascii() and (any(x in t for x in _ODD_PARTS)
+                                    or _ODD_WIDE.search(t) is not None))
+
+
 class Encoder:
     """A byte-level BPE vocabulary of the tokenizers library, applied to distinct words.
 
     The vocabulary's pattern always cuts before a single space or around a single line
     end between other characters; a text with any other white space, or with a special
-    token, is encoded whole.
+    token, is encoded whole.  The ids of the distinct words lie in one flat array, from
+    which a slice of texts is put together at once.
     """
 
     def __init__(self, file: str):
         self.library = Tokenizer.from_file(file)
         self.library.no_truncation()
         self.library.no_padding()
-        self.words = RecentWords(CACHE_WORDS)
+        # a byte-level token has one letter for each of its bytes
+        self.bytes = np.zeros(self.size, dtype=np.int64)
+        for token, number in self.library.get_vocab(with_added_tokens=False).items():
+            self.bytes[number] = len(token)
+        self.reset()
+
+    def reset(self) -> None:
+        self.words = WordIndex()
+        self.ids = np.zeros(0, dtype="<u4")
+        self.at = np.zeros(1, dtype=np.int64)
 
     @property
     def size(self) -> int:
         return self.library.get_vocab_size(with_added_tokens=True)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        done = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in done]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        odd = [_ODD.search(t) is not None for t in texts]
+    def _whole(self, texts: list[bytes]) -> list[list[int]]:
+        done = self.library.encode_batch_fast([t.decode() for t in texts],
+                                              add_special_tokens=False)
+        return [e.ids for e in done]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of new words.  Many make one text, a word without a space of its own after a
+        line end, and the bytes of the text's tokens tell the words apart again."""
+        for k in range(0, len(words), 20_000):
+            part = words[k:k + 20_000]
+            lead = [0 if w[:1] in (b" ", b"\n") else 1 for w in part]
+            if b"\n" in part:       # the line end itself cannot stand beside another one
+                got = [np.array(x, dtype="<u4") for x in self._whole(part)]
+                ids, ends = np.concatenate(got), offsets([x.size for x in got])
+            else:
+                text = b"".join([b"\n" + w if x else w for w, x in zip(part, lead)])
+                all_ids = np.array(self._whole([text])[0], dtype="<u4")
+                after = np.cumsum(self.bytes[all_ids])
+                size = np.fromiter(map(len, part), dtype=np.int64, count=len(part)) + lead
+                stop = np.searchsorted(after, np.cumsum(size)) + 1
+                start = np.append(0, stop[:-1]) + lead
+                ids, ends = all_ids[ranges(start, stop - start)], offsets(stop - start)
+            self.ids = np.concatenate([self.ids, ids])
+            self.at = np.concatenate([self.at, self.at[-1] + ends[1:]])
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text as unsigned 32-bit integers."""
+        if not len(self.words) or len(self.words) > CACHE_WORDS:
+            self.reset()
+            self._learn([b"\n"])
+            self.words.numbers([b"\n"])
+            self.words.fresh = []
+        odd = [_odd(t) for t in texts]
         split = [[] if o else _WORD.findall(t) for t, o in zip(texts, odd)]
-        fresh = self.words.missing(split)
-        known = self.words.young
-        for k in range(0, len(fresh), 20_000):
-            part = fresh[k:k + 20_000]
-            known.update(zip(part, self._whole([w.decode() for w in part])))
-        rest = iter(self._whole([t.decode() for t, o in zip(texts, odd) if o]))
-        return [next(rest) if o else b"".join([known[w] for w in ws])
-                for ws, o in zip(split, odd)]
+        numbers = self.words.numbers([w for ws in split for w in ws])
+        fresh, self.words.fresh = self.words.fresh, []
+        self._learn(fresh)
+        size = (self.at[1:] - self.at[:-1])[numbers]
+        flat = self.ids[ranges(self.at[numbers], size)]
+        bound = offsets(size)[offsets([len(ws) for ws in split])].tolist()
+        rest = iter(self._whole([t for t, o in zip(texts, odd) if o]))
+        return [np.array(next(rest), dtype="<u4") if o else flat[a:b]
+                for a, b, o in zip(bound[:-1], bound[1:], odd)]
 
 
 _KEPT: dict[str, Encoder] = {}
@@ -258,7 +305,7 @@ def write_ids(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(file)
         bits = bits_for(max(coder.size, end_id + 1))
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end = np.array([end_id], dtype="<u4")
         out, part, turn = None, 0, 0
 
         def close():
@@ -273,7 +320,7 @@ def write_ids(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_
             for k, ids in zip(keys, coder.encode([t or b"" for t in texts])):
                 if out is None:
                     out = IdFile(folder, f"ids-{part:07d}-{turn:04d}.bin", bits, block)
-                out.add(k, np.frombuffer(ids + end, dtype="<u4"))
+                out.add(k, np.concatenate([ids, end]))
                 if out.ids >= file_ids:
                     yield close()
                     out, turn = None, turn + 1
