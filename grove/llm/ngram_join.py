@@ -9,8 +9,12 @@ block are multiplied: their overlap is accumulated block of columns after block,
 is discarded as soon as overlap plus what is left cannot reach the bound of its sizes.
 
 Only connectivity is wanted, so a block shared by many rows is first multiplied with two
-of its rows alone, a few times over; rows that this already connects are not compared again,
-and what is left of the block across components is compared in full.  No pair is capped or sampled.
+of its rows alone; rows that this already connects are not compared again.  What is left of
+the block across components meets inside a salted join whose condition is a bound: every set
+carries the parities of its n-grams in ``PARITY_BITS`` hash classes, and two sets differ in at
+least as many n-grams as in parities, so a pair whose parities differ in more than its sizes
+allow cannot link.  Only the other pairs leave the join and are multiplied.  No pair is capped
+or sampled.
 """
 
 from __future__ import annotations
@@ -31,8 +35,12 @@ BAND_RATIO = 1.4
 #: Column ranges over which an overlap is accumulated between two checks of its bound.
 COLUMN_RANGES = 8
 MAX_ROUNDS = 60
-#: Times that the open blocks are multiplied with two of their rows before the full product.
-STAR_ROUNDS = 4
+#: Times that blocks are multiplied with two of their rows before the open rest meets.
+STAR_ROUNDS = 1
+#: Hash classes whose parities a set carries (a multiple of 64).
+PARITY_BITS = 512
+#: Open members of a block that one task holds against the others.
+SALT_MEMBERS = 256
 
 
 def size_bands(limit: int) -> np.ndarray:
@@ -117,6 +125,12 @@ def overlap(a: np.ndarray, b: np.ndarray, percent: int) -> int:
     return count
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """Parity of the n-grams of each hash class, as 64-bit integers."""
+    odd = np.bincount((h % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _digest(h: np.ndarray) -> bytes | None:
     return hashlib.blake2b(h.tobytes(), digest_size=16).digest() if h.size else None
 
@@ -164,7 +178,7 @@ def _signatures(docs: DataFrame, text: str, n: int, percent: int, largest: int)
 
 
 def _sets(docs: DataFrame, text: str, key: str, chosen: DataFrame, n: int) -> DataFrame:
-    """(set_id, grams) of the chosen (set_id, _key) rows."""
+    """(set_id, grams, parity) of the chosen (set_id, _key) rows."""
     rows = (docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
             .join(chosen.select("set_id", "_key"), "_key"))
 
@@ -174,10 +188,11 @@ def _sets(docs: DataFrame, text: str, key: str, chosen: DataFrame, n: int) -> Da
             got = [(w, s) for w, s in zip(want, ngram_sets(texts, n)) if _digest(s) == w]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([w for w, _ in got], pa.binary()),
-                 pa.array([s.view(np.int64) for _, s in got], pa.list_(pa.int64()))],
-                names=["set_id", "grams"])
+                 pa.array([s.view(np.int64) for _, s in got], pa.list_(pa.int64())),
+                 pa.array([parities(s) for _, s in got], pa.list_(pa.int64()))],
+                names=["set_id", "grams", "parity"])
 
-    return rows.mapInArrow(run, "set_id binary, grams array<long>")
+    return rows.mapInArrow(run, "set_id binary, grams array<long>, parity array<long>")
 
 
 def _multiply(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -290,26 +305,42 @@ def _links(docs, text, key, classes, n, percent, largest) -> DataFrame | None:
         if more.isEmpty():
             break
         done = done.unionByName(more)
-    left = _open_blocks(shared, done)
-    a = left.select("sig", F.col("set_id").alias("a"), F.col("root").alias("ra"),
-                    F.col("size").alias("na"))
-    b = left.select("sig", F.col("set_id").alias("b"), F.col("root").alias("rb"),
-                    F.col("size").alias("nb"))
-    rest = (a.join(b, "sig")
-            .where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
-                   & (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")))
-            .select("a", "b").distinct())
+    rest = _within_bound(_open_blocks(shared, done), sets, percent)
     return done.unionByName(shared_table(_multiply(rest, sets, percent), "ngram-rest"))
 
 
+def _within_bound(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of open members of one block, of different components, whose sizes and
+    parities allow a link."""
+    words = range(PARITY_BITS // 64)
+    left = left.join(sets.select("set_id", *[F.get("parity", F.lit(k)).alias(f"p{k}")
+                                             for k in words]), "set_id")
+    salts = F.ceil(F.col("members") / SALT_MEMBERS).cast("int")
+    place = F.pmod(F.xxhash64("set_id"), salts).cast("int")
+    a, b = (side.select("sig", "salt", F.struct("set_id", "root", "size",
+                                                *[f"p{k}" for k in words]).alias(name))
+            for side, name in ((left.withColumn("salt", place), "a"),
+                               (left.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))),
+                                "b")))
+    apart = sum((F.bit_count(F.col(f"a.p{k}").bitwiseXOR(F.col(f"b.p{k}"))) for k in words),
+                F.lit(0))
+    small, large = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
+    return (a.join(b, (a["sig"] == b["sig"]) & (a["salt"] == b["salt"])
+                   & (F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.root") != F.col("b.root"))
+                   & (F.lit(100) * small >= F.lit(percent) * large)
+                   & (F.lit(100 + percent) * apart <= F.lit(100 - percent) * (small + large)))
+            .select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")).distinct())
+
+
 def _open_blocks(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """Members (sig, set_id, size, root) of the blocks whose members the links have not
-    brought into one component."""
+    """Members (sig, set_id, size, root, members: how many) of the blocks whose members the
+    links have not brought into one component."""
     placed = (shared.select("sig", "set_id", "size")
               .join(components(links).withColumnRenamed("node", "set_id"), "set_id", "left")
               .withColumn("root", F.coalesce("root", "set_id")))
-    apart = (placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"))
-             .where("x <> y").select("sig"))
+    apart = (placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"),
+                                      F.count("*").alias("members"))
+             .where("x <> y").select("sig", "members"))
     return shared_table(placed.join(apart, "sig"), "ngram-open")
 
 
