@@ -215,6 +215,26 @@ def test_fertility_base_counts(spark, edge):
             assert r.base_failed == (len(w) < 50 or 100 * len(hit) > 50 * len(w))
 
 
+@pytest.mark.parametrize("size", [60, 150])
+def test_fertility_rejects_short_gibberish(spark, size):
+    rng = np.random.default_rng(size)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    rows = [(f"junk-{lang}-{k}", " ".join("".join(rng.choice(letters, rng.integers(2, 11)))
+                                          for _ in range(size)), lang)
+            for lang in ("en", "de", "fr", "es") for k in range(5)]
+    seen = defaultdict(int)
+    for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect():
+        w = (r.text or "").split()
+        if r.lang and len(w) >= size and seen[r.lang] < 5 and not re.search(r"[|#*$%&<>]|!!", r.text):
+            seen[r.lang] += 1
+            rows.append((f"clean-{r.doc_id}", " ".join(w[:size]), r.lang))
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    got = fertility.quality_rules(df, keep=("doc_id", "lang")).collect()
+    assert sum(seen.values()) == 20
+    assert not any(r.base_failed for r in got if r.doc_id.startswith("junk"))
+    assert {r.doc_id for r in got if r.kept} == {r[0] for r in rows if r[0].startswith("clean")}
+
+
 def test_language_held_out(spark, edge):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = [r for r in queries.op8_language_id(spark, SF).collect()]
