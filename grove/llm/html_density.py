@@ -68,6 +68,8 @@ ARTICLES = frozenset("article main".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: Start of the closing tag of each raw element; ASCII letters only match each other.
+_RAW_END = {t: re.compile(f"</{t}", re.I | re.A) for t in RAW}
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""",
                    re.I)
 _WORDS = re.compile(r"[a-z]+")
@@ -118,7 +120,6 @@ def parse(page: str) -> Node:
     skip: list[str] = []              # open elements of a left-out subtree
     why = ""
     at = 0
-    low = None
     find = _TOKEN.search
     while True:
         m = find(page, at)
@@ -150,10 +151,9 @@ def parse(page: str) -> Node:
         attrs = m[3]
         closed = tag in VOID
         if tag in RAW:                # its content is not markup
-            low = low or page.lower()
-            end = low.find(f"</{tag}", at)
+            end = _RAW_END[tag].search(page, at)
             # an element that is never closed takes the rest of the page
-            at = len(page) if end < 0 else end
+            at = len(page) if end is None else end.start()
             why = why if skip else tag
             skip.append(tag)
             continue

@@ -282,6 +282,16 @@ def test_main_text_edges(spark):
     assert got[3].n_chars == len(got[3].text) and got[3].text.count("\n") == 1
 
 
+PROSE = "<p>" + "plain words of an article, and more of them. " * 12 + "</p>"
+
+
+def test_main_text_behind_script_after_dotted_i():
+    page = ("<html><body><h1>İstanbul İİİ</h1><script>var a = '<p>';</SCRIPT>" + PROSE
+            + "<script>b()</script><p>" + "the last words of the page. " * 9 + "</p></body></html>")
+    text = html_density.main_text(page)
+    assert "plain words" in text and "the last words" in text and "var a" not in text
+
+
 def test_empty_tables(spark, edge):
     none = edge.where("doc_id = -1")
     assert ngram_join.jaccard_components(none).count() == 0
