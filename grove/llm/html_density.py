@@ -275,19 +275,19 @@ def choose(root: Node) -> list[Node | str]:
     if outer:
         return [outer[-1]]
     threshold = min(n.density for n in path)
-    on_path = {id(n) for n in path}
-
-    def beside(kids: list) -> list:
-        out: list = []
-        for k in kids:
-            if isinstance(k, str) or k is best or id(k) not in on_path and (
-                    k.density >= threshold or 2 * k.link_chars <= k.chars):
-                out.append(k)
-            elif id(k) in on_path:
-                out += [BREAK, *beside(k.kids), BREAK]
-        return out
-
-    return [best] if best is root else beside(root.kids)
+
+    def stays(k) -> bool:
+        return isinstance(k, str) or k.density >= threshold or 2 * k.link_chars <= k.chars
+
+    # one kid of every node of the path lies on it, so the walk needs no recursion
+    before: list = []
+    after: list[list] = []
+    for n, step in zip(path[:0:-1], path[-2::-1]):
+        at = next(i for i, k in enumerate(n.kids) if k is step)
+        edge = [] if step is best else [BREAK]
+        before += [*filter(stays, n.kids[:at]), *edge]
+        after.append([*edge, *filter(stays, n.kids[at + 1:])])
+    return [*before, best, *(k for rest in reversed(after) for k in rest)]
 
 
 def blocks(parts: list) -> list[str]:

@@ -292,6 +292,13 @@ def test_main_text_behind_script_after_dotted_i():
     assert "plain words" in text and "the last words" in text and "var a" not in text
 
 
+@pytest.mark.parametrize("tag", ["font", "span", "div"])
+def test_main_text_below_5000_open_tags(tag):
+    page = "<body><p>before all of it</p>" + f"<{tag}>" * 5000 + PROSE + PROSE + "</body>"
+    text = html_density.main_text(page)
+    assert text.count("plain words") == 24 and text.startswith("before all of it\n")
+
+
 def test_empty_tables(spark, edge):
     none = edge.where("doc_id = -1")
     assert ngram_join.jaccard_components(none).count() == 0
