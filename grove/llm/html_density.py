@@ -11,8 +11,10 @@ is characters per tag, made smaller where much of the text is link text:
 The node of the largest sum leads to the main text; the threshold is the smallest
 density on the path from the body to that node, and what stands beside the path joins
 the text unless it is below the threshold and mostly links.  Elements that are never
-main text (scripts, menus, forms, adverts, comments by readers ...) are left out of the
-tree by tag, role, class or id before anything is counted.
+main text (scripts, menus, forms ...) are left out of the tree by tag, role or hidden state
+before anything is counted.  A word of a class or id value only marks an element (adverts,
+comments by readers ...): a marked element is left out unless it holds most of the page's
+text outside links, as a wrapper around the article does.
 """
 
 from __future__ import annotations
@@ -64,6 +66,11 @@ BOILER_WORDS = frozenset(
 COMMENT_WORDS = frozenset(
     "comment comments commentlist reply replies disqus respond discussion".split())
 ARTICLES = frozenset("article main".split())
+#: Reasons that a class or id value gives; they mark an element and do not cut it at once.
+MARKS = frozenset(["boiler", "comments"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements whose parts are judged one by one inside an article.
+CONTAINERS = frozenset("article main div section center".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -101,12 +108,13 @@ def _boiler(tag: str, attrs: str) -> str:
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "chars", "tags", "link_chars", "link_tags",
-                 "density", "total")
+    __slots__ = ("tag", "parent", "mark", "kids", "own", "chars", "tags", "link_chars",
+                 "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: "Node | None"):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: "Node | None", mark: str = ""):
+        self.tag, self.parent, self.mark = tag, parent, mark
         self.kids: list = []          # nodes and strings, in page order
+        self.own: int | None = None   # characters of the strings among them, once counted
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -115,7 +123,10 @@ BREAK = Node("", None)
 
 
 def parse(page: str) -> Node:
-    """Tree of the page without boilerplate elements; the root stands for the body."""
+    """Tree of the page without boilerplate elements; the root stands for the body.
+
+    Elements that only a class or id value calls boilerplate are in the tree, marked.
+    """
     root = node = Node("body", None)
     skip: list[str] = []              # open elements of a left-out subtree
     why = ""
@@ -159,7 +170,7 @@ def parse(page: str) -> Node:
             continue
         if skip:
             # an element left open must not swallow the article behind it
-            if tag == "body" or tag in ARTICLES and why != "comments" and not _boiler(tag, attrs):
+            if tag == "body" or tag in ARTICLES and not _boiler(tag, attrs):
                 skip.clear()
             else:
                 if not closed and not (tag == "p" and skip[-1] == "p") \
@@ -191,14 +202,14 @@ def parse(page: str) -> Node:
             if last is not None:
                 node = last.parent
         reason = _boiler(tag, attrs)
-        if reason:
+        if reason and reason not in MARKS:
             if not closed and not attrs.endswith("/"):
                 skip.append(tag)
                 why = reason
             continue
-        child = Node(tag, node)
+        child = Node(tag, node, reason)
         node.kids.append(child)
-        if not closed:
+        if not closed and not (reason and attrs.endswith("/")):
             node = child
     if at < len(page) and not skip:
         node.kids.append(page[at:])
@@ -220,19 +231,73 @@ def _count(root: Node) -> list[Node]:
         order.append(n)
         stack += [k for k in reversed(n.kids) if isinstance(k, Node)]
     for n in reversed(order):
+        if n.own is None:
+            n.own = sum(len(_clean(k)) for k in n.kids if isinstance(k, str))
+        n.chars, n.tags, n.link_chars, n.link_tags = n.own, 0, 0, 0
         for k in n.kids:
             if isinstance(k, Node):
                 n.chars += k.chars
                 n.link_chars += k.link_chars
                 n.tags += k.tags + 1
                 n.link_tags += k.link_tags + (k.tag == "a")
-            else:
-                n.chars += len(_clean(k))
         if n.tag == "a":
             n.link_chars = n.chars
     return order
 
 
+def _prune(root: Node, order: list[Node]) -> None:
+    """Leave marked elements out of the counted tree, but not what wraps the main text.
+
+    A marked element stays if it holds more than half of the text outside links; readers'
+    comments do not count as text here.  What is marked as comments, which often are longer
+    than the article, stays only with nine tenths of all text outside links, or with more
+    than half and an h1 inside.  The parts of an element that stays are
+    judged in turn.  Unmarked articles inside a left-out element that is not comments are
+    kept in its place.
+    """
+    leads: set[int] = set()
+    for n in order:
+        if n.tag == "h1":
+            while n is not None and id(n) not in leads:
+                leads.add(id(n))
+                n = n.parent
+    whole = root.chars - root.link_chars
+    for n in order:
+        held = n.chars - n.link_chars
+        if n.mark == "comments" and (10 * held > 9 * whole
+                                     or id(n) in leads and 2 * held > whole):
+            n.mark = ""
+    plain: dict[int, int] = {}        # text outside links and outside comments
+    for n in reversed(order):
+        held = n.own
+        for k in n.kids:
+            if isinstance(k, Node) and k.mark != "comments":
+                held += plain[id(k)]
+        plain[id(n)] = 0 if n.tag == "a" else held
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        kids: list = []
+        for k in n.kids:
+            if isinstance(k, str):
+                kids.append(k)
+            elif not k.mark or k.mark != "comments" and 2 * plain[id(k)] > plain[id(root)]:
+                kids.append(k)
+                stack.append(k)
+            elif k.mark != "comments":
+                inner = [k]
+                while inner:
+                    x = inner.pop()
+                    if x.tag in ARTICLES and not x.mark:
+                        x.parent = n
+                        kids.append(x)
+                        stack.append(x)
+                    else:
+                        inner += [y for y in reversed(x.kids)
+                                  if isinstance(y, Node) and y.mark != "comments"]
+        n.kids = kids
+
+
 def _densities(root: Node, order: list[Node]) -> None:
     share = root.link_chars / root.chars if root.chars else 0.0
     for n in order:
@@ -250,15 +315,31 @@ def _densities(root: Node, order: list[Node]) -> None:
         n.total = sum(k.density for k in n.kids if isinstance(k, Node))
 
 
+def _trimmed(article: Node, threshold: float) -> Node:
+    """The article without its link lists: blocks of several links that are mostly links and
+    below the threshold.  Inline elements, headings and parts of other blocks stay."""
+    stack = [article]
+    while stack:
+        n = stack.pop()
+        n.kids = [k for k in n.kids if isinstance(k, str) or k.tag in INLINE or k.tag in HEADINGS
+                  or k.density >= threshold or k.link_tags < 2 or 2 * k.link_chars <= k.chars]
+        stack += [k for k in n.kids if isinstance(k, Node) and k.tag in CONTAINERS]
+    return article
+
+
 def choose(root: Node) -> list[Node | str]:
     """Parts of the main text in page order; none for a page without text.
 
     The node of the largest density sum is sought inside the page's articles, if it
-    marks any.  The article around it is taken whole.  Without one, the node is taken
-    whole together with what stands beside the path from the body to it, unless that
-    is below the path's threshold and mostly links.
+    marks any.  Then every outermost article is taken, without the link lists inside it,
+    unless it is itself below the threshold and mostly links.  Without an article, the node
+    is taken whole together with what stands beside the path from the body to it, unless
+    that is below the path's threshold and mostly links.
     """
     order = _count(root)
+    if any(n.mark for n in order):
+        _prune(root, order)
+        order = _count(root)
     if not root.chars:
         return []
     _densities(root, order)
@@ -271,10 +352,11 @@ def choose(root: Node) -> list[Node | str]:
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    outer = [n for n in path if n.tag in ARTICLES]
-    if outer:
-        return [outer[-1]]
     threshold = min(n.density for n in path)
+    if inside:
+        outer = [n for n in order if id(n) in inside and id(n.parent) not in inside]
+        return [_trimmed(n, threshold) for n in outer
+                if n in path or n.density >= threshold or 2 * n.link_chars <= n.chars]
 
     def stays(k) -> bool:
         return isinstance(k, str) or k.density >= threshold or 2 * k.link_chars <= k.chars

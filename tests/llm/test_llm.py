@@ -299,6 +299,37 @@ def test_main_text_below_5000_open_tags(tag):
     assert text.count("plain words") == 24 and text.startswith("before all of it\n")
 
 
+LINKS = "".join(f"<li><a href=/{k}>link {k}</a></li>" for k in range(12))
+
+
+@pytest.mark.parametrize("attrs", ['class="content no-sidebar"', 'id="page" class="has-cookie-notice"',
+                                   'class="single has-comments"'])
+def test_main_text_in_wrapper_with_boilerplate_words(attrs):
+    page = (f"<body><div {attrs}><div class='search-on'><h1>Title</h1>{PROSE}{PROSE}</div>"
+            "<div class='sidebar'><p>side words</p></div><div class='comments'><p>"
+            + "a reader says so. " * 9 + "</p></div></div><div class='share'>tell all</div></body>")
+    text = html_density.main_text(page)
+    assert text.count("plain words") == 24 and "Title" in text
+    assert not re.search("side words|reader|tell all", text)
+
+
+def test_main_text_leaves_long_comments_out():
+    page = (f"<body><div class='post no-sidebar'>{PROSE}</div><div class='comments'>"
+            + "<p>a reader says so, and says it again.</p>" * 100 + "</div></body>")
+    assert html_density.main_text(page) == html_density.main_text(PROSE)
+
+
+@pytest.mark.parametrize("wrap", ["{}", "<div class='no-sidebar'>{}</div>"])
+def test_main_text_of_several_articles(wrap):
+    page = "<body>" + wrap.format(
+        f"<article><h2><a href=/1>First</a></h2>{PROSE}<ul>{LINKS}</ul></article>"
+        f"<article><h2>Second</h2><div>{PROSE.replace('plain', '<a href=/x>other</a>')}"
+        f"<ul>{LINKS}</ul></div></article><article><ul>{LINKS}</ul></article>") + "</body>"
+    text = html_density.main_text(page)
+    assert text.count("plain words") == 12 and text.count("other words") == 12
+    assert "First" in text and "Second" in text and "link 3" not in text
+
+
 def test_empty_tables(spark, edge):
     none = edge.where("doc_id = -1")
     assert ngram_join.jaccard_components(none).count() == 0
