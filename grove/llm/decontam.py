@@ -99,7 +99,7 @@ class Table:
 class Searcher:
     """All patterns of a block of items: word numbers, tables, and who owns a pattern."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
         by_length: dict[int, dict[tuple, list[int]]] = {}
         self.items = [name for name, _ in items]
@@ -142,7 +142,8 @@ def _covered(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> list[list[tuple[str, bytes]]]:
+def _blocks(benchmark: DataFrame, item: str, text: str, limit: int
+            ) -> list[list[tuple[str | None, bytes]]]:
     """Item texts in blocks of at most ``limit`` words each (one longer item is a block).
 
     A benchmark is a stated set of test items, not a corpus; its rows stream to the
@@ -151,7 +152,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> list[list
     out: list[list[tuple[str, bytes]]] = []
     room = 0
     rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where(
-        F.col("t").isNotNull() & F.col("i").isNotNull())
+        F.col("t").isNotNull())
     for r in rows.toLocalIterator():
         raw = r["t"].encode()
         n = len(split_alnum(raw))
@@ -173,8 +174,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     items (ascending array of item ids as strings) and contaminated.
 
     A word is hit if it lies inside any occurrence of a pattern.  Null and empty texts
-    have no words and no hits; items without words (or null id or text) have no
-    patterns; an empty benchmark hits nothing; equal items are all reported; repeated
+    have no words and no hits; items without words (or null text) have no
+    patterns; items with a null id hit like others, count as one in n_items and are not in
+    items; an empty benchmark hits nothing; equal items are all reported; repeated
     documents are separate rows; a column that clashes with a result column is
     replaced by it.  Patterns are broadcast in blocks of at most ``block_words`` item
     words; further blocks make further passes over the texts, whose spans are united.
@@ -205,12 +207,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
                 for r, (sp, nm) in found.items():
                     spans[r] += sp
                     items[r].update(s.items[i] for i in nm)
-            listed = [sorted(x) for x in items]
+            listed = [sorted(x - {None}) for x in items]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(c)) for c in names]
                 + [pa.array(words, pa.int64()),
                    pa.array([_covered(x) for x in spans], pa.int64()),
-                   pa.array([len(x) for x in listed], pa.int64()),
+                   pa.array([len(x) for x in items], pa.int64()),
                    pa.array(listed, pa.list_(pa.string()))],
                 names=names + ["n_words", "n_hit", "n_items", "items"])
 

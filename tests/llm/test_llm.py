@@ -195,6 +195,24 @@ def test_decontamination_equals_brute_force(spark):
         (a, b, c) for a, b, c, _ in want]
 
 
+def test_decontamination_by_items_without_id(spark, tmp_path):
+    import duckdb
+    from grove.llm.oracle import OP9
+    words = [f"w{k}" for k in range(60)]
+    docs = [(1, " ".join(words[:30])), (2, " ".join(words[20:50])), (3, "nothing of it"), (4, None)]
+    bench = [(None, " ".join(words[5:17])), (None, " ".join(words[12:24])),
+             ("7", " ".join(words[22:40])), ("8", None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id string, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet")
+    got = {tuple(r) for r in queries.op9_decontaminate(spark, f"file://{tmp_path}").collect()}
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == set(con.execute(OP9).fetchall())
+    assert {r[0]: r[2:4] for r in got} == {1: (19, 1), 2: (18, 1), 3: (0, 0), 4: (0, 0)}
+
+
 def test_fertility_base_counts(spark, edge):
     for df, have in ((spark.read.parquet(f"{SF}/documents.parquet"), texts(spark)),
                      (edge, dict(EDGE))):
