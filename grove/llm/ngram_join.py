@@ -346,8 +346,16 @@ def _open_blocks(shared: DataFrame, links: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5,
                percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose key is the least of their component (rows with a null key
-    stay); repeated rows of that key all stay."""
-    found = jaccard_components(docs, text, key, n, percent)
-    gone = (found.where(F.col(key) != F.col("component_id")).select(key).distinct())
-    return docs.join(gone, key, "left_anti")
+    """One row of ``docs`` of each component: that of the least key, of repeated rows any one.
+
+    A null key comes after every other.  Rows are told apart by a row id, written once to the
+    shared folder, so repeated rows and rows without a key are grouped by their texts like
+    others.  Texts without words link with nothing; all their rows stay.
+    """
+    rows = shared_table(docs.withColumn("_row", F.monotonically_increasing_id()), "ngram-rows")
+    order = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"),
+                     F.col("_row").alias("row"))
+    found = jaccard_components(rows.withColumn("_order", order), text, "_order", n, percent)
+    gone = found.where(F.col("_order") != F.col("component_id")).select(
+        F.col("_order.row").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)

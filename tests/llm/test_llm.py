@@ -118,6 +118,19 @@ def test_ngram_join_edges(spark, edge):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 7, 8]
 
 
+def test_keep_first_of_repeated_and_keyless_rows(spark):
+    near = " ".join(f"v{k}" for k in range(100))
+    rows = [(3, "one two three four five six"), (3, "one two three four five six"),
+            (9, "one two three four five six"), (None, "one two three four five six"),
+            (None, "copies without a key stay once"), (None, "copies without a key stay once"),
+            (None, near), (20, near + " end"), (21, "alone here"), (22, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.keep_first(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [
+        rows[0], rows[4], rows[7], rows[8], rows[9], rows[10]]))
+
+
 def brute_phrases(text):
     w = word_list(text)
     places = []
