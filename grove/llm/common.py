@@ -126,6 +126,19 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def free_names(columns, *wanted: str) -> list[str]:
+    """The wanted internal names, each lengthened until no input column has it (Spark
+    compares names without case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def tokenizer_file(name: str) -> str:
     """Place of a public vocabulary file on this machine (installed on every node);
     GROVE_TOKENIZERS names another folder."""

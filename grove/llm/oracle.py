@@ -57,4 +57,28 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(words.n_hit, 0) A
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op2_url_trie": OP2, "op9_decontaminate": OP9}
+OP12 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+                  sha256('1:' || CAST(doc_id AS VARCHAR)) AS x FROM documents),
+h AS (SELECT *, CAST(('0x' || x[1:8]) AS UBIGINT) % (n + 1) AS c1,
+             CAST(('0x' || x[9:16]) AS UBIGINT) % (n + 1) AS c2,
+             CAST(('0x' || x[17:24]) AS UBIGINT) % 100 AS r3,
+             CAST(('0x' || x[25:32]) AS UBIGINT) % 100 AS r4 FROM d),
+f AS (SELECT doc_id, n, t, CAST(least(c1, c2) AS BIGINT) AS lo, CAST(greatest(c1, c2) AS BIGINT) AS hi,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                       OR r3 >= 90 THEN 'plain' WHEN r4 < 20 THEN 'spm' ELSE 'psm' END AS form
+      FROM h),
+p AS (SELECT *, substring(t, 1, lo) AS pre, substring(t, lo + 1, hi - lo) AS mid,
+             substring(t, hi + 1) AS suf FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN lo END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t
+              WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+ORACLE: dict[str, str] = {"op2_url_trie": OP2, "op9_decontaminate": OP9,
+                          "op12_fill_in_middle": OP12}

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grove.llm import (bpe, common, decontam, fertility, html_density, langid, license_scan,
-                       ngram_join, packed_ids, pu_quality, url_trie)
+from grove.llm import (bpe, common, decontam, fertility, fim, html_density, langid,
+                       license_scan, ngram_join, packed_ids, pu_quality, url_trie)
 
 load = common.load
 
@@ -78,9 +78,17 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_density.extract_main_text(pages, keep=("page_id", "url"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    out = fim.fill_in_middle(docs, keep=("doc_id",))
+    digest = [F.sha2(c.cast("binary"), 256) for c in (F.col("output"), fim.restored())]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                      digest[0].alias("output_sha256"), digest[1].alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_fertility, op2_url_trie, op3_bpe, op4_license_scan,
         op5_packed_ids, op6_pu_quality, op7_ngram_jaccard, op8_language_id, op9_decontaminate,
-        op10_main_text)
+        op10_main_text, op12_fill_in_middle)
 }
