@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grove.llm import (bpe, common, decontam, fertility, fim, html_density, langid,
-                       license_scan, ngram_join, packed_ids, pu_quality, url_trie)
+                       license_scan, ngram_join, packed_ids, periodic, pu_quality, url_trie)
 
 load = common.load
 
@@ -86,9 +86,20 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                       digest[0].alias("output_sha256"), digest[1].alias("restored_sha256"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.repeat_tail(load(spark, sf_dir, "documents", "doc_id", "text"))
+    found = periodic.find_runs(docs, keep=("doc_id",)).withColumn("best", periodic.most_periodic())
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length",
+        "best.period", F.floor(F.expr("best.length * 1000 div best.period")).alias("exponent_milli"),
+        periodic.run_digest().alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_fertility, op2_url_trie, op3_bpe, op4_license_scan,
         op5_packed_ids, op6_pu_quality, op7_ngram_jaccard, op8_language_id, op9_decontaminate,
-        op10_main_text, op12_fill_in_middle)
+        op10_main_text, op12_fill_in_middle,
+        op13_periodic_runs)
 }
