@@ -57,6 +57,21 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(words.n_hit, 0) A
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP11 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS x
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+firsts AS (SELECT x, min(doc_id) AS least FROM win GROUP BY x),
+hit AS (SELECT win.doc_id, i FROM win JOIN firsts USING (x) WHERE least < win.doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM hit),
+word AS (SELECT doc_id, unnest(w) AS v, generate_subscripts(w, 1) AS k FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(v, ' ' ORDER BY k) AS t
+         FROM word ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 OP12 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
                   sha256('1:' || CAST(doc_id AS VARCHAR)) AS x FROM documents),
@@ -81,4 +96,4 @@ FROM p
 """
 
 ORACLE: dict[str, str] = {"op2_url_trie": OP2, "op9_decontaminate": OP9,
-                          "op12_fill_in_middle": OP12}
+                          "op11_substring_dedup": OP11, "op12_fill_in_middle": OP12}

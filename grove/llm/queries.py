@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grove.llm import (bpe, common, decontam, fertility, fim, html_density, langid,
-                       license_scan, ngram_join, packed_ids, periodic, pu_quality, url_trie)
+                       license_scan, ngram_join, packed_ids, periodic, pu_quality,
+                       substring_dedup, url_trie)
 
 load = common.load
 
@@ -78,6 +79,13 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_density.extract_main_text(pages, keep=("page_id", "url"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    out = substring_dedup.remove_repeats(docs, keep=("doc_id",))
+    return out.select("doc_id", "n_words", "n_removed",
+                      F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents", "doc_id", "text")
     out = fim.fill_in_middle(docs, keep=("doc_id",))
@@ -100,6 +108,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_fertility, op2_url_trie, op3_bpe, op4_license_scan,
         op5_packed_ids, op6_pu_quality, op7_ngram_jaccard, op8_language_id, op9_decontaminate,
-        op10_main_text, op12_fill_in_middle,
-        op13_periodic_runs)
+        op10_main_text, op11_substring_dedup, op12_fill_in_middle, op13_periodic_runs)
 }
