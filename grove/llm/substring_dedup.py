@@ -364,7 +364,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
         raise ValueError(f"gram must lie in 1..{window}, got {gram}")
     result = ["n_words", "n_removed", "spans", "kept"]
     names = [c for c in (keep if keep is not None else docs.columns) if c not in result]
-    body, row = free_names(names, "_text", "_rid")
+    body, row, begins = free_names(names, "_text", "_rid", "_starts")
     rid = F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string"))
     rows = docs.select(rid.alias("rid"), F.col(key).cast("long").alias("ord"),
                        F.col(text).cast("string").alias("text")).where(F.col(key).isNotNull())
@@ -377,7 +377,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     found = shared_table(_occurrences(rows, live, window, gram), "repeat-occurrences")
     segments = _deal_hot(found, window, hot_segments)
     firsts = shared_table(_first_documents(segments, window), "repeat-firsts")
-    starts = _removed(segments, firsts).withColumnsRenamed({"rid": row, "starts": f"{row}s"})
+    starts = _removed(segments, firsts).withColumnsRenamed({"rid": row, "starts": begins})
     frame = docs.select(*[F.col(c) for c in names], F.col(text).cast("string").alias(body),
                         F.when(F.col(key).isNotNull(), rid).alias(row))
     frame = frame.join(starts, row, "left")
@@ -388,7 +388,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, body):
-            at = batch.column(batch.schema.get_field_index(f"{row}s")).to_pylist()
+            at = batch.column(batch.schema.get_field_index(begins)).to_pylist()
             words, removed, spans, kept = [], [], [], []
             for t, own in zip(texts, at):
                 ws = [] if t is None else t.split()
@@ -411,4 +411,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
                    pa.array(kept, pa.binary()).cast(pa.string())],
                 names=names + result)
 
-    return frame.select(*names, body, f"{row}s").mapInArrow(run, schema)
+    return frame.select(*names, body, begins).mapInArrow(run, schema)
