@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from grove.llm.common import RecentWords, offsets, slices, tokenizer_file
+from grove.llm.common import RecentWords, free_names, kept_table, offsets, slices, tokenizer_file
 
 VOCABULARY = "word_bpe_49k.json"
+TABLE = "bpe"
 LONG_WORD = 512
 #: Distinct chunks whose tokens a worker keeps, in each of two generations.
 CACHE_CHUNKS = 250_000
@@ -223,6 +224,9 @@ class WordBpe:
             ids = coded[ps[0]] if len(ps) == 1 else b"".join([coded[p] for p in ps])
             known[c] = (ids, self._text(ids))
 
+    def shrink(self, chunks: int) -> None:
+        self.chunks.shrink(chunks)
+
     def _text(self, ids: bytes) -> bytes:
         """Token texts, each followed by a space."""
         token = self.tokens
@@ -246,15 +250,6 @@ class WordBpe:
         return self._text(ids)[:-1].decode()
 
 
-_KEPT: dict[str, WordBpe] = {}
-
-
-def _vocabulary(file: str) -> WordBpe:
-    if file not in _KEPT:
-        _KEPT[file] = WordBpe(file)
-    return _KEPT[file]
-
-
 def encode_documents(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None,
                      file: str | None = None, digests: bool = False) -> DataFrame:
     """``keep`` columns of ``docs`` (default: all) plus n_tokens, ids (little-endian
@@ -269,13 +264,14 @@ def encode_documents(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
     result = ["n_tokens"] + (["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else RESULT
     names = [c for c in (keep if keep is not None else docs.columns) if c not in result]
-    frame = docs.select(*[F.col(c) for c in names], F.col(text).cast("string").alias("_text"))
+    (inner,) = free_names(names, "_text")
+    frame = docs.select(*[F.col(c) for c in names], F.col(text).cast("string").alias(inner))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, "
-                     for f in frame.drop("_text").schema.fields)
+                     for f in frame.select(*names).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _vocabulary(file)
-        for batch, texts in slices(batches, "_text"):
+        bpe = kept_table(TABLE, file, lambda: WordBpe(file))
+        for batch, texts in slices(batches, inner, table=TABLE):
             coded = bpe.encode([t or b"" for t in texts])
             cols = [pa.array([len(c[0]) // 4 for c in coded], pa.int64())]
             if digests:

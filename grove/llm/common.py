@@ -7,8 +7,10 @@ A-Z and blanks ASCII punctuation without touching any non-ASCII byte.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +38,46 @@ def load(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str,
-           limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+#: (operator, parameters, word table) that this Python worker keeps from task to task.
+_TABLE: list = []
+#: Words that a table keeps between tasks; an idle worker holds no more.
+IDLE_WORDS = 50_000
+
+
+def kept_table(operator: str, parameters, make):
+    """What ``make`` builds, kept while the worker runs tasks of the same operator and
+    parameters; the table of another operator is freed."""
+    if _TABLE[:2] != [operator, parameters]:
+        _TABLE.clear()
+        _TABLE[:] = [operator, parameters, make()]
+    return _TABLE[2]
+
+
+def _return_memory() -> None:
+    """Give what has been freed back to the system: the allocators keep it otherwise, in every
+    reused worker, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES,
+           table: str | None = None) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Cut Arrow batches into runs of rows of about ``limit`` text bytes, each with
     its texts as bytes (None for null), so a task's working set does not follow
-    the batch size."""
+    the batch size.  The word table that another operator than ``table`` left in this reused
+    worker is freed first; that of ``table`` is cut back at the end."""
+    if _TABLE and _TABLE[0] != table:
+        _TABLE.clear()
+        _return_memory()
+    yield from _slices(batches, text, limit)
+    if _TABLE and _TABLE[0] == table:
+        _TABLE[2].shrink(IDLE_WORDS)
+        _return_memory()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], text: str, limit: int):
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -101,6 +138,12 @@ class RecentWords:
         self.young: dict = {}
         self.old: dict = {}
 
+    def shrink(self, words: int) -> None:
+        """Keep the first ``words`` of the young generation: common words come early."""
+        self.old = {}
+        if len(self.young) > words:
+            self.young = dict(islice(self.young.items(), words))
+
     def missing(self, split: list[list[bytes]]) -> list[bytes]:
         """Words of the texts that no generation holds; the others are young afterwards."""
         if len(self.young) > self.limit:

@@ -14,13 +14,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import WordIndex, offsets, ranges, slices, tokenizer_file
+from grove.llm.common import (WordIndex, free_names, kept_table, offsets,
+                              ranges, slices, tokenizer_file)
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -28,6 +30,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Distinct words whose tokens a worker keeps before it starts anew.
 CACHE_WORDS = 600_000
+TABLE = "fertility"
 
 
 @dataclass(frozen=True)
@@ -93,6 +96,16 @@ class Vocabularies:
         self.ids = np.zeros(0, np.int32)
         self.at = np.zeros(1, np.int64)
 
+    def shrink(self, words: int) -> None:
+        """Keep the first ``words`` words: common ones come early."""
+        if len(self.index) > words:
+            first = list(islice(self.index, words))
+            self.index = WordIndex()
+            self.index.numbers(first)
+            self.index.fresh = []
+            self.bpe_n, self.at = self.bpe_n[:words].copy(), self.at[:words + 1].copy()
+            self.ids = self.ids[:self.at[-1]].copy()
+
     def numbers(self, words: list[bytes]) -> np.ndarray:
         if len(self.index) > CACHE_WORDS:
             self.reset()
@@ -109,15 +122,6 @@ class Vocabularies:
         return out
 
 
-_KEPT: dict[tuple, Vocabularies] = {}
-
-
-def _vocabularies(*files: str) -> Vocabularies:
-    if files not in _KEPT:
-        _KEPT[files] = Vocabularies(*files)
-    return _KEPT[files]
-
-
 def repeated_words(numbers: np.ndarray) -> int:
     """Words in 3-word windows found twice or more (first ones included)."""
     n = numbers.size
@@ -183,13 +187,14 @@ def measure_fertility(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
              piece_file or tokenizer_file("piece_bpe_32k.model"))
     result = [x.split()[0] for x in RESULT.split(", ")]
     names = [c for c in (keep if keep is not None else docs.columns) if c not in result]
-    frame = docs.select(*[F.col(c) for c in names], F.col(text).cast("string").alias("_text"))
+    (inner,) = free_names(names, "_text")
+    frame = docs.select(*[F.col(c) for c in names], F.col(text).cast("string").alias(inner))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, "
-                     for f in frame.drop("_text").schema.fields)
+                     for f in frame.select(*names).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _vocabularies(*files)
-        for batch, texts in slices(batches, "_text"):
+        v = kept_table(TABLE, files, lambda: Vocabularies(*files))
+        for batch, texts in slices(batches, inner, table=TABLE):
             texts = [t or b"" for t in texts]
             split = [t.split() for t in texts]
             bounds = offsets([len(w) for w in split])

@@ -30,20 +30,28 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from grove.llm.common import WordIndex, offsets, ranges, slices, tokenizer_file
+from grove.llm.common import (WordIndex, kept_table, offsets, ranges, slices,
+                              tokenizer_file)
 from grove.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
+#: Stands for a null key in a file.
+NO_KEY = -(1 << 63)
+TABLE = "packed ids"
 MAGIC = b"GRVIDS01"
 #: Ids per block; a multiple of 8, so that every block ends on a byte.
 BLOCK_IDS = 4096
 #: A task starts another file beyond this many ids (64 MB of 16-bit ids).
 FILE_IDS = 32 << 20
-#: Distinct words whose ids a worker keeps before it starts anew.
+#: Distinct words, and their bytes, whose ids a worker keeps before it forgets rare ones.
 CACHE_WORDS = 400_000
+CACHE_BYTES = 8 << 20
+#: Longer words are forgotten with the rare ones.
+LONG_BYTES = 64
 
 _FOOTER = np.dtype([("ids", "<u8"), ("docs", "<u8"), ("bits", "<u4"), ("block", "<u4")])
 
@@ -97,15 +105,14 @@ def unpack(raw: bytes, count: int, bits: int) -> np.ndarray:
 # -- encoding ----------------------------------------------------------------
 
 #: White space that the word cut below does not cover.
-_ODD_ASCII = b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_ODD_ASCII = b"\x00\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _ODD_WIDE = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
 _ODD_PARTS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
-_WORD = re.compile(rb" ?[^ \n]+|\n")
 
 
 def _odd(t: bytes) -> bool:
-    """Whether a text has white space whose surroundings the word cut does not cover, or
-    what may be a special token."""
+    """Whether a text has white space whose surroundings the word cut does not cover, the
+    character that it cuts at, or what may be a special token."""
     return (b"  " in t or b"\n\n" in t or b" \n" in t or b"\n " in t or b"<|" in t
             or t[:1] in (b" ", b"\n") or t[-1:] in (b" ", b"\n")
             or len(t.translate(None, _ODD_ASCII)) != len(t)
@@ -113,6 +120,11 @@ def _odd(t: bytes) -> bool:
                                     or _ODD_WIDE.search(t) is not None))
 
 
+def _cut(t: bytes) -> list[bytes]:
+    """Words with the space before them, and line ends, of a text that is not odd."""
+    return t.replace(b" ", b"\0 ").replace(b"\n", b"\0\n\0").split(b"\0") if t else []
+
+
 class Encoder:
     """A byte-level BPE vocabulary of the tokenizers library, applied to distinct words.
 
@@ -136,6 +148,25 @@ class Encoder:
         self.words = WordIndex()
         self.ids = np.zeros(0, dtype="<u4")
         self.at = np.zeros(1, dtype=np.int64)
+        self.uses = np.zeros(0, dtype=np.int64)
+        self.held = 0                      # bytes of the words
+
+    def shrink(self, words: int) -> None:
+        """Keep at most so many of the words met twice or more since they were last sorted out,
+        the most frequent ones, and no long ones."""
+        names = list(self.words)
+        size = np.fromiter(map(len, names), dtype=np.int64, count=len(names))
+        keep = np.flatnonzero((self.uses > 1) & (size <= LONG_BYTES))
+        if keep.size > words:
+            keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[:words]])
+        count = (self.at[1:] - self.at[:-1])[keep]
+        self.ids = self.ids[ranges(self.at[keep], count)]
+        self.at = offsets(count)
+        self.words = WordIndex()
+        self.words.numbers([names[i] for i in keep.tolist()])
+        self.words.fresh = []
+        self.uses = np.zeros(keep.size, dtype=np.int64)
+        self.held = int(size[keep].sum())
 
     @property
     def size(self) -> int:
@@ -168,16 +199,17 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers."""
-        if not len(self.words) or len(self.words) > CACHE_WORDS:
-            self.reset()
-            self._learn([b"\n"])
-            self.words.numbers([b"\n"])
-            self.words.fresh = []
+        if len(self.words) > CACHE_WORDS or self.held > CACHE_BYTES:
+            self.shrink(CACHE_WORDS // 2)
         odd = [_odd(t) for t in texts]
-        split = [[] if o else _WORD.findall(t) for t, o in zip(texts, odd)]
+        split = [[] if o else _cut(t) for t, o in zip(texts, odd)]
         numbers = self.words.numbers([w for ws in split for w in ws])
         fresh, self.words.fresh = self.words.fresh, []
         self._learn(fresh)
+        self.held += sum(map(len, fresh))
+        uses = np.bincount(numbers, minlength=len(self.words))
+        uses[:self.uses.size] += self.uses
+        self.uses = uses
         size = (self.at[1:] - self.at[:-1])[numbers]
         flat = self.ids[ranges(self.at[numbers], size)]
         bound = offsets(size)[offsets([len(ws) for ws in split])].tolist()
@@ -186,15 +218,6 @@ class Encoder:
                 for a, b, o in zip(bound[:-1], bound[1:], odd)]
 
 
-_KEPT: dict[str, Encoder] = {}
-
-
-def _encoder(file: str) -> Encoder:
-    if file not in _KEPT:
-        _KEPT[file] = Encoder(file)
-    return _KEPT[file]
-
-
 # -- files -------------------------------------------------------------------
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -218,11 +241,12 @@ class IdFile:
         self.index: list[np.ndarray] = []
         self.docs: list[tuple[int, int, int]] = []
 
-    def add(self, doc: int, ids: np.ndarray) -> None:
-        self.docs.append((doc, self.ids, ids.size))
-        self.ids += ids.size
-        self.rest.append(ids)
-        self.waiting += ids.size
+    def add(self, doc: int, ids: np.ndarray, end: np.ndarray) -> None:
+        size = ids.size + end.size
+        self.docs.append((doc, self.ids, size))
+        self.ids += size
+        self.rest += (ids, end)
+        self.waiting += size
         if self.waiting >= 64 * self.block:
             self._flush(self.waiting // self.block * self.block)
 
@@ -286,24 +310,26 @@ def write_ids(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_
     ascending ``key`` order as id files below ``folder`` (shared by all executors).
 
     Returns the files written, in order: path, first (ids of all files before it), ids,
-    docs.  Null and empty texts have the end id alone; a null key counts as the
-    smallest long; rows with equal keys stay in the order of the input; an empty table
+    docs.  Keys are integers; null and empty texts have the end id alone; a null key counts
+    as the smallest long, as which it is stored; rows with equal keys stay in the order of the input; an empty table
     writes no file.  Texts are dealt by ranges of the key (and the row's place, so that
     one key cannot fill a task), which is the only shuffle.
     """
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise ValueError(f"column {key} is no integer")
     if block % 64:
         raise ValueError("block must be a multiple of 64")
     file = file or tokenizer_file(VOCABULARY)
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key_col = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
+    key_col = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
     dealt = (docs.select(key_col.alias("_key"), F.monotonically_increasing_id().alias("_row"),
                          F.col(text).cast("string").alias("_text"))
              .repartitionByRange(n, "_key", "_row").sortWithinPartitions("_key", "_row")
              .withColumn("_part", F.spark_partition_id()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoder(file)
+        coder = kept_table(TABLE, file, lambda: Encoder(file))
         bits = bits_for(max(coder.size, end_id + 1))
         end = np.array([end_id], dtype="<u4")
         out, part, turn = None, 0, 0
@@ -314,13 +340,13 @@ def write_ids(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_
                 {"path": [f"{folder.rstrip('/')}/{out.path.rsplit('/', 1)[1]}"],
                  "ids": [ids], "docs": [len(out.docs)]})
 
-        for batch, texts in slices(batches, "_text"):
+        for batch, texts in slices(batches, "_text", table=TABLE):
             part = batch.column(batch.schema.get_field_index("_part"))[0].as_py()
             keys = batch.column(batch.schema.get_field_index("_key")).to_pylist()
             for k, ids in zip(keys, coder.encode([t or b"" for t in texts])):
                 if out is None:
                     out = IdFile(folder, f"ids-{part:07d}-{turn:04d}.bin", bits, block)
-                out.add(k, np.concatenate([ids, end]))
+                out.add(k, ids, end)
                 if out.ids >= file_ids:
                     yield close()
                     out, turn = None, turn + 1
@@ -339,7 +365,7 @@ def write_ids(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_
 def read_ids(files: DataFrame, whole: bool = True, run_ids: int = 4 << 20) -> DataFrame:
     """Documents of the files: key, start (ids of all documents before it), n_tokens,
     ids_crc32 (of the ids as little-endian unsigned 32-bit integers) and, if ``whole``,
-    the ids themselves.  Files are read apart, in runs of about ``run_ids`` ids."""
+    the ids themselves.  The key NO_KEY comes back as null.  Files are read apart, in runs of about ``run_ids`` ids."""
     n = max(1, files.count())
     schema = "key long, start long, n_tokens long, ids_crc32 long"
     schema += ", ids array<long>" if whole else ""
@@ -363,7 +389,8 @@ def read_ids(files: DataFrame, whole: bool = True, run_ids: int = 4 << 20) -> Da
                         "ids_crc32": [zlib.crc32(x.tobytes()) for x in own],
                         **({"ids": own} if whole else {})})
 
-    return files.repartition(n, "path").mapInPandas(run, schema)
+    got = files.repartition(n, "path").mapInPandas(run, schema)
+    return got.withColumn("key", F.when(F.col("key") != NO_KEY, F.col("key")))
 
 
 def fresh_folder(spark: SparkSession) -> str:
