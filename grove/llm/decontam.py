@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import ranges, slices, split_alnum
+from grove.llm.common import free_names, ranges, slices, split_alnum
 
 WINDOW = 10
 #: Shift table entries per pattern length; a collision only makes a shift smaller.
@@ -183,8 +183,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     """
     result = ["n_words", "n_hit", "n_items", "items", "contaminated"]
     names = [c for c in (keep if keep is not None else docs.columns) if c not in result]
-    cols = [*names, "_text"]
-    frame = docs.select(*[F.col(c) for c in names], F.col(text).alias("_text"))
+    (inner,) = free_names(names, "_text")
+    cols = [*names, inner]
+    frame = docs.select(*[F.col(c) for c in names], F.col(text).cast("string").alias(inner))
     blocks = _blocks(benchmark, item, item_text, block_words) or [[]]
     sc = docs.sparkSession.sparkContext
     pending = [sc.broadcast(b) for b in blocks]
@@ -193,7 +194,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searchers = None
-        for batch, texts in slices(batches, "_text"):
+        for batch, texts in slices(batches, inner):
             if searchers is None:
                 searchers = [Searcher(b.value, window) for b in pending[:1]]
                 if len(pending) > 1:      # one block's tables are held at a time

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import slices
+from grove.llm.common import free_names, slices
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -419,12 +419,13 @@ def extract_main_text(pages: DataFrame, page: str = "html", keep: tuple[str, ...
     """
     names = [c for c in (keep if keep is not None else pages.columns)
              if c not in ("text", "n_chars")]
-    frame = pages.select(*[F.col(c) for c in names], F.col(page).cast("string").alias("_page"))
+    (inner,) = free_names(names, "_page")
+    frame = pages.select(*[F.col(c) for c in names], F.col(page).cast("string").alias(inner))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, "
-                     for f in frame.drop("_page").schema.fields)
+                     for f in frame.select(*names).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw in slices(batches, "_page"):
+        for batch, raw in slices(batches, inner):
             text = [main_text(None if r is None else r.decode()) for r in raw]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(c)) for c in names]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import WordIndex, offsets, slices, split_alnum
+from grove.llm.common import WordIndex, free_names, offsets, slices, split_alnum
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -257,16 +257,17 @@ def predict(docs: DataFrame, model: LangModel | None, text: str = "text",
     """
     result = ["lang_pred", "score", "rejected"]
     names = [c for c in (keep if keep is not None else docs.columns) if c not in result]
-    frame = docs.select(*[F.col(c) for c in names], F.col(text).cast("string").alias("_text"))
+    (inner,) = free_names(names, "_text")
+    frame = docs.select(*[F.col(c) for c in names], F.col(text).cast("string").alias(inner))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, "
-                     for f in frame.drop("_text").schema.fields)
+                     for f in frame.select(*names).schema.fields)
     # languages x buckets numbers: bounded by MAX_LANGS and BUCKETS
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         scorer = None if m is None else Scorer(m)
-        for batch, texts in slices(batches, "_text"):
+        for batch, texts in slices(batches, inner):
             known = [scorer is not None and t is not None and has_letter(t) for t in texts]
             lang = [UNKNOWN] * len(texts)
             score = np.zeros(len(texts))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import LOWER_TABLE, WordIndex, offsets, shared_table, slices
+from grove.llm.common import LOWER_TABLE, WordIndex, free_names, offsets, shared_table, slices
 
 #: Largest over smallest size of a band.
 BAND_RATIO = 1.4
@@ -352,10 +352,11 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
     shared folder, so repeated rows and rows without a key are grouped by their texts like
     others.  Texts without words link with nothing; all their rows stay.
     """
-    rows = shared_table(docs.withColumn("_row", F.monotonically_increasing_id()), "ngram-rows")
+    row, by = free_names(docs.columns, "_row", "_order")
+    rows = shared_table(docs.withColumn(row, F.monotonically_increasing_id()), "ngram-rows")
     order = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"),
-                     F.col("_row").alias("row"))
-    found = jaccard_components(rows.withColumn("_order", order), text, "_order", n, percent)
-    gone = found.where(F.col("_order") != F.col("component_id")).select(
-        F.col("_order.row").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+                     F.col(row).alias("row"))
+    found = jaccard_components(rows.withColumn(by, order), text, by, n, percent)
+    gone = found.where(F.col(by) != F.col("component_id")).select(
+        F.col(f"{by}.row").alias(row))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import hash_sample, slices
+from grove.llm.common import free_names, hash_sample, slices
 from grove.llm.fertility import duplicate_lines, repeated_words
 
 #: Texts of each kind that the fit may use (twice as many at most).
@@ -159,12 +159,13 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, seed: int = 11) -> float:
 
 
 def _measured(docs: DataFrame, text: str, names: list[str]) -> DataFrame:
-    frame = docs.select(*[F.col(c) for c in names], F.col(text).cast("string").alias("_text"))
+    (inner,) = free_names(names, "_text")
+    frame = docs.select(*[F.col(c) for c in names], F.col(text).cast("string").alias(inner))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, "
-                     for f in frame.drop("_text").schema.fields)
+                     for f in frame.select(*names).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, "_text"):
+        for batch, texts in slices(batches, inner):
             x = [measure(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(c)) for c in names]
@@ -217,14 +218,15 @@ def score_quality(docs: DataFrame, model: PuModel | None, text: str = "text",
     """
     names = [c for c in (keep if keep is not None else docs.columns)
              if c not in ("score", "predicted")]
-    frame = docs.select(*[F.col(c) for c in names], F.col(text).cast("string").alias("_text"))
+    (inner,) = free_names(names, "_text")
+    frame = docs.select(*[F.col(c) for c in names], F.col(text).cast("string").alias(inner))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, "
-                     for f in frame.drop("_text").schema.fields)
+                     for f in frame.select(*names).schema.fields)
     shared = docs.sparkSession.sparkContext.broadcast(model)   # a few hundred numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch, texts in slices(batches, "_text"):
+        for batch, texts in slices(batches, inner):
             s = np.full(len(texts), 0.5) if m is None else \
                 m.score(np.stack([measure(t) for t in texts]))
             yield pa.RecordBatch.from_arrays(

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import slices
+from grove.llm.common import free_names, slices
 
 #: Most rules that a broadcast trie may hold; more raise an error instead of growing the broadcast.
 MAX_RULES = 1_000_000
@@ -103,14 +103,15 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "
         raise ValueError(f"{len(rules)} rules; at most {max_rules} may be broadcast")
     result = ["host", "path", "rule", "verdict"]
     names = [c for c in (keep if keep is not None else pages.columns) if c not in result]
-    frame = pages.select(*[F.col(c) for c in names], F.col(url).cast("string").alias("_url"))
+    (inner,) = free_names(names, "_url")
+    frame = pages.select(*[F.col(c) for c in names], F.col(url).cast("string").alias(inner))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
-                       for f in frame.drop("_url").schema.fields)
+                       for f in frame.select(*names).schema.fields)
     shared = pages.sparkSession.sparkContext.broadcast(UrlTrie(rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = shared.value
-        for batch, urls in slices(batches, "_url"):
+        for batch, urls in slices(batches, inner):
             rows = []
             for u in urls:
                 host, path = split_url(None if u is None else u.decode())
