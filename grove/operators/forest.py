@@ -1,41 +1,47 @@
 """Random forests: fixed size, grid-tuned, refit on all rows.
 
 Tree induction is MLlib's: level-wise histogram aggregation across the cluster,
-one pass over the cached training points per group of nodes.  This module only
-wires the pieces: label preparation, keyed split, a Pipeline of assembler and
-forest, CrossValidator with a hashed fold column, and the metric aggregates.
+one pass over the cached training points per group of nodes.  This module
+wires the pieces: label preparation, row identity and layout, keyed split, one
+estimator for everything that is learned, the fold loop and the metric aggregates.
 """
 
 from __future__ import annotations
 
+import json
 import math
-from concurrent.futures import ThreadPoolExecutor
+import statistics
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.util import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel, keyword_only
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import (BinaryClassificationEvaluator,
                                    MulticlassClassificationEvaluator, RegressionEvaluator)
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorIndexer, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 from grove.operators import metrics
-from grove.operators.features import with_class_weights
+from grove.operators.dataset import Fixture
+from grove.operators.features import strongest, vector_chi_squared
+from grove.operators.identity import ROW_KEY, canonical_layout, with_row_key
+from grove.operators.labels import (MAX_CLASSES, LabelDictionary, class_counts, class_weight,
+                                    with_class_count)
 from grove.operators.split import holdout_split, with_folds
-from grove.plans.fixtures import Fixture
 from grove.session import checkpoint_dir
-from grove.sources.tables import spread
 
 TASKS = ("regression", "binary", "multiclass")
-LABEL, FEATURES, PREDICTION = "label", "features", "prediction"
+LABEL, FEATURES, PREDICTION, WEIGHT, FOLD = "label", "features", "prediction", "weight", "fold"
 
 
 @dataclass(frozen=True)
@@ -50,11 +56,18 @@ class ForestOptions:
     weighting: str = "uniform"        # uniform | by_class
     bins: int | Sequence[int] = 32
     max_memory_mb: int = 256          # histogram memory per pass
-    seed: int = 100088121
+    seed: int = 17
     subsampling: float = 1.0
+    bootstrap: bool = True            # False: every tree sees all rows
     cache_node_ids: bool = True       # node ids kept on executors, checkpointed
     checkpoint_interval: int = 10
-    handle_invalid: str = "error"     # assembler: error | skip | keep
+    handle_invalid: str = "error"     # null or NaN feature, null label: error | skip
+    n_classes: int | None = None      # numeric classes 0..n-1; default: counted over all rows
+    max_classes: int = MAX_CLASSES    # of a text label
+    max_categories: int | None = None     # features of so many values or fewer are categorical
+    unseen_category: str = "keep"     # category that training did not have: keep | skip | error
+    top_features: int | None = None   # keep so many features by chi-squared test on the label
+    partitions: int | None = 16       # of the training rows; None: as they come (see layout)
 
     @classmethod
     def from_vector(cls, values: Sequence[str], **overrides) -> "ForestOptions":
@@ -78,6 +91,9 @@ class ForestOptions:
             raise ValueError(f"impurity must be gini or entropy, got {self.impurity}")
         if self.weighting not in ("uniform", "by_class"):
             raise ValueError(f"weighting must be uniform or by_class, got {self.weighting}")
+        if self.handle_invalid not in ("error", "skip"):
+            raise ValueError("trees need every feature: handle_invalid must be error or skip, "
+                             f"got {self.handle_invalid}")
         return self
 
     def tree_grid(self) -> list[int]:
@@ -90,6 +106,10 @@ class ForestOptions:
         """A single number means the fixed path, a list means the grid path."""
         return isinstance(self.trees, (list, tuple)) or isinstance(self.bins, (list, tuple))
 
+    def settings(self) -> list["ForestOptions"]:
+        """One option set for each point of the grid, tree counts outermost."""
+        return [replace(self, trees=t, bins=b) for t in self.tree_grid() for b in self.bin_grid()]
+
 
 def feature_subset(subset: str, n_features: int) -> str:
     """Map the reference's Default / All / Sqrt / Ln to Spark's strategies."""
@@ -110,10 +130,10 @@ def _is_string(df: DataFrame, col: str) -> bool:
 
 
 def prepare(fx: Fixture, tolerant: bool = False) -> DataFrame:
-    """Add the double ``label`` column (not for string multiclass targets, which
-    the pipeline indexes) and turn an array feature column into a vector."""
+    """Add the double ``label`` column (not for text multiclass targets, which
+    the model indexes) and turn an array feature column into a vector."""
     df = fx.frame
-    target = F.col(fx.target)
+    target = F.col(f"`{fx.target}`")
     cast = (lambda c: c.try_cast("double")) if tolerant else (lambda c: c.cast("double"))
     if fx.task == "regression":
         df = df.withColumn(LABEL, cast(target))
@@ -144,15 +164,108 @@ def _n_features(fx: Fixture, df: DataFrame) -> int:
     return first[0].size if first is not None else 1
 
 
-def _estimator(fx: Fixture, opts: ForestOptions, n_features: int, weight: str | None):
+# ---------------------------------------------------------------- the estimator
+
+class ForestLearner(Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """Everything that is learned from training rows, as one estimator.
+
+    ``fit`` takes rows with the raw target and features, and returns a PipelineModel of
+    Spark's own stages: label index of a text class, feature vector, categorical and
+    chi-squared stages if wanted, forest, decoded class.  The estimator itself holds
+    nothing fitted: saved and loaded (alone or in a Pipeline), it learns the classes,
+    categories, selected features and trees of whatever rows it is given next.
+    """
+
+    spec = Param(Params._dummy(), "spec", "target, features, task and options, as JSON",
+                 typeConverter=TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, *, spec: str | None = None):
+        super().__init__()
+        if spec is not None:
+            self._set(spec=spec)
+
+    @classmethod
+    def of(cls, fx: Fixture, opts: ForestOptions, labels: Sequence[str] | None = None
+           ) -> "ForestLearner":
+        """``labels``: the classes of a text target; default: those of the rows to fit."""
+        opts = opts.validated()
+        if opts.is_grid():
+            raise ValueError("an estimator has one setting; a grid makes several")
+        return cls(spec=json.dumps({
+            "target": fx.target, "features": list(fx.features), "vector": fx.vector,
+            "task": fx.task, "positive": fx.positive,
+            "labels": None if labels is None else list(labels), "options": asdict(opts)}))
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        s = json.loads(self.getOrDefault(self.spec))
+        opts = ForestOptions(**s["options"])
+        fx = Fixture(dataset, s["target"], s["features"], [], s["task"], s["positive"], s["vector"])
+        df = dataset if LABEL in dataset.columns else prepare(fx)
+        stages, decoder = [], []
+        if s["task"] == "multiclass" and _is_string(df, s["target"]):
+            words = (LabelDictionary(tuple(s["labels"])) if s["labels"] is not None else
+                     LabelDictionary.of(df, s["target"], opts.max_classes))
+            stages.append(words.indexer(s["target"], LABEL))
+            decoder = [words.decoder(PREDICTION, f"predicted_{s['target']}")]
+            df = df.where(F.col(f"`{s['target']}`").isNotNull())
+        elif s["task"] == "multiclass":
+            df = with_class_count(df, LABEL, opts.n_classes or _classes(df, opts))
+        elif s["task"] == "binary":
+            df = with_class_count(df, LABEL, 2)
+        if opts.handle_invalid == "skip" and LABEL in df.columns:
+            df = df.where(F.col(LABEL).isNotNull())
+        weight = None
+        if opts.weighting == "by_class" and s["task"] != "regression":
+            by = LABEL if LABEL in df.columns else s["target"]
+            df = df.withColumn(WEIGHT, class_weight(class_counts(df, by, opts.max_classes), by))
+            weight = WEIGHT
+        indexed = stages[0].transform(df) if stages else df
+        stages += _feature_stages(fx, opts, indexed)
+        width = opts.top_features or _n_features(fx, df)
+        stages.append(_forest(fx.task, opts, width, weight))
+        return Pipeline(stages=stages + decoder).fit(df)
+
+
+def _classes(df: DataFrame, opts: ForestOptions) -> int:
+    top = df.agg(F.max(LABEL)).first()[0]
+    n = 1 if top is None else int(top) + 1
+    if n > opts.max_classes:
+        raise ValueError(f"class {top:g} is beyond the {opts.max_classes} classes allowed")
+    return n
+
+
+def _feature_stages(fx: Fixture, opts: ForestOptions, df: DataFrame) -> list:
+    """Assembler, then the categorical (M18) and chi-squared (M19) stages that are wanted, the
+    last one with the output ``features``; names and kinds of the elements are kept."""
+    if opts.top_features and fx.task == "regression":
+        raise ValueError("the chi-squared test needs a class label")
+    stages = [VectorAssembler(inputCols=feature_inputs(fx), outputCol="_vector0",
+                              handleInvalid=opts.handle_invalid)]
+    if opts.max_categories:
+        stages.append(VectorIndexer(inputCol="_vector0", outputCol="_vector1",
+                                    maxCategories=opts.max_categories,
+                                    handleInvalid=opts.unseen_category))
+    if opts.top_features:
+        stages = Pipeline(stages=stages).fit(df).stages
+        ready = PipelineModel(stages).transform(df)
+        last = f"_vector{len(stages) - 1}"
+        chosen = strongest(vector_chi_squared(ready, last, LABEL), opts.top_features)
+        stages = [*stages, VectorSlicer(inputCol=last, outputCol="_vector", indices=chosen)]
+    stages[-1].setOutputCol(FEATURES)
+    return stages
+
+
+def _forest(task: str, opts: ForestOptions, n_features: int, weight: str | None):
     common = dict(
         featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION,
         numTrees=opts.tree_grid()[0], maxDepth=opts.depth, maxBins=opts.bin_grid()[0],
         minInstancesPerNode=opts.min_rows, featureSubsetStrategy=feature_subset(opts.subset, n_features),
         seed=opts.seed, subsamplingRate=opts.subsampling, maxMemoryInMB=opts.max_memory_mb,
         cacheNodeIds=opts.cache_node_ids, checkpointInterval=opts.checkpoint_interval,
+        bootstrap=opts.bootstrap,
     )
-    if fx.task == "regression":
+    if task == "regression":
         est = RandomForestRegressor(impurity="variance", **common)
     else:
         est = RandomForestClassifier(impurity=opts.impurity, probabilityCol="probability",
@@ -162,25 +275,10 @@ def _estimator(fx: Fixture, opts: ForestOptions, n_features: int, weight: str |
     return est
 
 
-def build_pipeline(fx: Fixture, opts: ForestOptions, data: DataFrame,
-                   weight: str | None = None) -> tuple[Pipeline, object]:
-    """Pipeline [label indexer?, assembler, forest, label decoder?] and its forest stage."""
-    opts = opts.validated()
-    stages = []
-    indexer_model = None
-    if fx.task == "multiclass" and _is_string(data, fx.target):
-        # Fitted up front (one distributed count per label) so the decoder knows the labels.
-        indexer_model = StringIndexer(inputCol=fx.target, outputCol=LABEL,
-                                      stringOrderType="frequencyDesc").fit(data)
-        stages.append(indexer_model)
-    stages.append(VectorAssembler(inputCols=feature_inputs(fx), outputCol=FEATURES,
-                                  handleInvalid=opts.handle_invalid))
-    forest = _estimator(fx, opts, _n_features(fx, data), weight)
-    stages.append(forest)
-    if indexer_model is not None:
-        stages.append(IndexToString(inputCol=PREDICTION, outputCol=f"predicted_{fx.target}",
-                                    labels=indexer_model.labelsArray[0]))
-    return Pipeline(stages=stages), forest
+def build_pipeline(fx: Fixture, opts: ForestOptions,
+                   labels: Sequence[str] | None = None) -> Pipeline:
+    """The unfitted pipeline that is saved beside a model (B4): the estimator alone."""
+    return Pipeline(stages=[ForestLearner.of(fx, opts, labels)])
 
 
 # ---------------------------------------------------------------- evaluation
@@ -191,11 +289,12 @@ def positive_score(pred: DataFrame) -> DataFrame:
 
 
 def evaluate(pred: DataFrame, task: str) -> DataFrame:
-    """One-row quality figures for a scored test side."""
+    """One-row quality figures for a scored test side, scored once."""
     if task == "regression":
         return metrics.regression_metrics(pred, LABEL, PREDICTION)
     if task == "binary":
-        return metrics.binary_report(positive_score(pred), LABEL, PREDICTION, score="score")
+        return metrics.binary_report(positive_score(pred), LABEL, PREDICTION, score="score",
+                                     bounds=metrics.unit_bounds())
     return metrics.agreement(pred, LABEL, PREDICTION)
 
 
@@ -210,7 +309,7 @@ def selection_evaluator(task: str):
                                              metricName="accuracy")
 
 
-# ---------------------------------------------------------------- training
+# ---------------------------------------------------------------- training rows
 
 @dataclass
 class TrainResult:
@@ -219,7 +318,10 @@ class TrainResult:
     metrics: DataFrame                   # one row (lazy)
     final: PipelineModel | None = None   # refit on all rows
     scores: DataFrame | None = None      # grid path: one row per setting
+    fold_scores: DataFrame | None = None  # grid path: one row per setting and fold
     best: dict = field(default_factory=dict)
+    pipeline: Pipeline | None = None     # unfitted, at the chosen setting: for retraining
+    report: "SkipReport | None" = None   # rows read, dropped by column, used
     cached: list = field(default_factory=list)
 
     def release(self) -> None:
@@ -228,116 +330,193 @@ class TrainResult:
         self.cached.clear()
 
 
-def _training_frames(fx: Fixture, train_ratio: float, external: Fixture | None,
-                     tolerant: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+class SkipReport:
+    """Rows read, rows without a usable value by column, rows used.
+
+    Counted by the job that fills the cache of the prepared rows, not by a pass of its own
+    (without a cache: by one, when it is asked for).  An ``Observation`` would do as well, but
+    with one in the session MLlib's binary models can no longer be sent to executors (their
+    training summary holds the session, and that its observations).
+    """
+
+    def __init__(self, rows: DataFrame, columns: Sequence[str]):
+        self.rows, self.columns = rows, list(columns)
+        self._seen = None
+
+    def count(self) -> dict:
+        if self._seen is None:
+            bad = [self._unusable(c) for c in self.columns]
+            any_bad = reduce(lambda a, b: a | b, bad, F.lit(False))
+            self._seen = self.rows.agg(
+                F.count(F.lit(1)).alias("n_rows"), F.count_if(any_bad).alias("n_dropped"),
+                *[F.count_if(b).alias(f"bad_{i}") for i, b in enumerate(bad)]).first().asDict()
+        return self._seen
+
+    def _unusable(self, c: str):
+        v = F.col(f"`{c}`")
+        floating = isinstance(self.rows.schema[c].dataType, (T.DoubleType, T.FloatType))
+        return (v.isNull() | F.isnan(v)) if floating else v.isNull()
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """(column_name, n_rows, n_unusable, n_dropped, n_used): a row for each column, with
+        the totals of the whole table."""
+        seen = self.count()
+        rows = [(c, seen["n_rows"], seen[f"bad_{i}"], seen["n_dropped"],
+                 seen["n_rows"] - seen["n_dropped"]) for i, c in enumerate(self.columns)]
+        return spark.createDataFrame(rows, "column_name string, n_rows bigint, n_unusable bigint, "
+                                           "n_dropped bigint, n_used bigint")
+
+
+@dataclass
+class _Rows:
+    data: DataFrame
+    train: DataFrame
+    test: DataFrame
+    key: list[str]
+    opts: ForestOptions
+    labels: list[str] | None
+    report: SkipReport
+    cached: list
+
+
+def _rows(fx: Fixture, opts: ForestOptions, train_ratio: float, external: Fixture | None,
+          tolerant: bool, persist: bool) -> _Rows:
+    """Prepared rows in canonical layout, their two sides, and the classes of all of them."""
+    opts = opts.validated()
+    checkpoint_dir(fx.frame.sparkSession)  # cacheNodeIds checkpoints go to the shared folder
     data = prepare(fx, tolerant)
-    if external is not None:
+    label = LABEL if LABEL in data.columns else fx.target
+    key = list(fx.key)
+    if ROW_KEY not in data.columns and (opts.partitions is not None or not key):
+        data = with_row_key(data)
+        key = key or [ROW_KEY]
+    if opts.partitions is not None:
+        data = canonical_layout(data, ROW_KEY, opts.partitions)
+    cached = []
+    if persist:
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        cached.append(data)
+    report = SkipReport(data, [*feature_inputs(fx), label])
+    if persist:
+        report.count()
+    if external is None:
+        train_df, test_df = holdout_split(data, key, train_ratio)
+        known = data
+    else:
         # Train on every row of the first source, test on the second.
-        test = prepare(external, tolerant)
-        missing = set(feature_inputs(fx)) - set(test.columns)
+        test_df = prepare(external, tolerant)
+        missing = set(feature_inputs(fx)) - set(test_df.columns)
         if missing:
             raise ValueError(f"external validation set lacks columns {sorted(missing)}")
-        return data, data, test
-    train_df, test_df = holdout_split(data, fx.key, train_ratio)
-    return data, train_df, test_df
+        train_df = data
+        known = data.select(label).unionByName(test_df.select(label))
+    labels = None
+    if fx.task == "multiclass" and label == fx.target:
+        labels = list(LabelDictionary.of(known, label, opts.max_classes).labels)
+    elif fx.task == "multiclass" and opts.n_classes is None:
+        opts = replace(opts, n_classes=_classes(known, opts))
+    return _Rows(data, train_df, test_df, key, opts, labels, report, cached)
 
 
-def _weights(fx: Fixture, opts: ForestOptions, df: DataFrame) -> tuple[DataFrame, str | None]:
-    if opts.weighting != "by_class" or fx.task == "regression":
-        return df, None
-    label = LABEL if LABEL in df.columns else fx.target
-    return with_class_weights(df, label, "weight"), "weight"
-
+# ---------------------------------------------------------------- training
 
 def train(fx: Fixture, opts: ForestOptions = ForestOptions(), train_ratio: float = 0.8,
           refit: bool = True, external: Fixture | None = None, tolerant: bool = False,
-          persist: bool = True) -> TrainResult:
+          persist: bool = True, folds: int = 3, parallelism: int = 2) -> TrainResult:
     """M1/M2/M9: fit at a fixed size on the training side, score the test side,
-    then (optionally) refit the same setting on all rows."""
+    then (optionally) refit the same setting on all rows.  A grid of settings goes to ``tune``.
+
+    The rows are laid out by their identity in ``opts.partitions`` partitions, so the trees
+    depend on the rows, the seed and that number alone, not on files or cores.
+    """
     if opts.is_grid():
-        return tune(fx, opts, train_ratio=train_ratio, external=external, tolerant=tolerant,
-                    persist=persist)
-    checkpoint_dir(fx.frame.sparkSession)  # cacheNodeIds checkpoints go to the shared folder
-    data, train_df, test_df = _training_frames(fx, train_ratio, external, tolerant)
-    cached = []
-    if persist:
-        data = spread(data).persist(StorageLevel.MEMORY_AND_DISK)
-        cached.append(data)
-        if external is None:
-            train_df, test_df = holdout_split(data, fx.key, train_ratio)
-        else:
-            train_df = data
-    train_w, weight = _weights(fx, opts, train_df)
-    pipeline, _ = build_pipeline(fx, opts, train_w, weight)
-    if refit:
-        # The two fits are independent: run them as concurrent jobs (as
-        # CrossValidator's ``parallelism`` does) so one fills the cores the
-        # other leaves idle between tree levels.
-        all_w, _ = _weights(fx, opts, data)
-        model, final = _fit_concurrently(pipeline, [train_w, all_w])
-    else:
-        model, final = pipeline.fit(train_w), None
-    scored = model.transform(test_df)
-    return TrainResult(model, scored, evaluate(scored, fx.task), final, cached=cached)
+        return tune(fx, opts, folds=folds, train_ratio=train_ratio, parallelism=parallelism,
+                    external=external, tolerant=tolerant, refit=refit, persist=persist)
+    rows = _rows(fx, opts, train_ratio, external, tolerant, persist)
+    learner = ForestLearner.of(fx, rows.opts, rows.labels)
+    # The two fits are independent: they run as concurrent jobs, so one fills the cores
+    # that the other leaves idle between tree levels.
+    model, *final = _concurrently(learner.fit, [rows.train, rows.data] if refit else [rows.train])
+    scored = model.transform(rows.test)
+    return TrainResult(model, scored, evaluate(scored, fx.task), final[0] if final else None,
+                       pipeline=build_pipeline(fx, opts), report=rows.report, cached=rows.cached)
 
 
-def _fit_concurrently(pipeline: Pipeline, frames: list[DataFrame]) -> list[PipelineModel]:
-    with ThreadPoolExecutor(max_workers=len(frames)) as pool:
-        fit = inheritable_thread_target(frames[0].sparkSession)(pipeline.fit)
-        return list(pool.map(fit, frames))
+def _concurrently(work, items: list, at_once: int = 2) -> list:
+    spark = SparkSession.getActiveSession()
+    run = inheritable_thread_target(spark)(work)
+    with ThreadPoolExecutor(max_workers=max(1, min(at_once, len(items)))) as pool:
+        return list(pool.map(run, items))
+
+
+def best_setting(means: Sequence[float], larger: bool) -> int:
+    """Index of the best mean; a NaN (no fold could be judged) is worse than any figure, and
+    of equal ones the first wins."""
+    def rank(i: int) -> float:
+        return -math.inf if math.isnan(means[i]) else means[i] if larger else -means[i]
+    return max(range(len(means)), key=rank)
 
 
 def tune(fx: Fixture, opts: ForestOptions, folds: int = 3, train_ratio: float = 0.8,
          parallelism: int = 2, external: Fixture | None = None, tolerant: bool = False,
          refit: bool = True, persist: bool = True) -> TrainResult:
-    """K-fold grid over tree counts (and bins), keyed folds,
-    best setting scored on the test side, then one refit of it on all rows."""
+    """K-fold grid over tree counts and bins, keyed folds,
+    best setting scored on the test side, then one refit of it on all rows.
+
+    The folds are filters of the one persisted frame; no fold is stored on its own.  A
+    setting's figure is the mean over the folds that gave one (a fold without rows, or without
+    both classes for the area under ROC, gives NaN).
+    """
     if folds < 2:
         raise ValueError(f"folds must be >= 2, got {folds}")
-    checkpoint_dir(fx.frame.sparkSession)
-    data, train_df, test_df = _training_frames(fx, train_ratio, external, tolerant)
-    cached = []
-    if persist:
-        data = spread(data).persist(StorageLevel.MEMORY_AND_DISK)
-        cached.append(data)
-        train_df, test_df = ((data, test_df) if external is not None
-                             else holdout_split(data, fx.key, train_ratio))
-    train_df = with_folds(train_df, fx.key, folds)
-    train_w, weight = _weights(fx, opts, train_df)
-    pipeline, forest = build_pipeline(fx, opts, train_w, weight)
-    grid_builder = ParamGridBuilder().addGrid(forest.numTrees, opts.tree_grid())
-    if len(opts.bin_grid()) > 1:
-        grid_builder = grid_builder.addGrid(forest.maxBins, opts.bin_grid())
-    grid = grid_builder.build()
-    evaluator = selection_evaluator(fx.task)
-    cv = CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=evaluator,
-                        numFolds=folds, foldCol="fold", parallelism=parallelism, seed=opts.seed)
-    cvm = cv.fit(train_w)
-    larger = evaluator.isLargerBetter()
-    means = list(cvm.avgMetrics)
-    stds = list(getattr(cvm, "stdMetrics", None) or [float("nan")] * len(means))
-    best_i = max(range(len(means)), key=lambda i: means[i] if larger else -means[i])
-    best = {p.name: v for p, v in grid[best_i].items()}
+    rows = _rows(fx, opts, train_ratio, external, tolerant, persist)
     spark = fx.frame.sparkSession
-    rows = [(int(pm[forest.numTrees]), int(pm.get(forest.maxBins, opts.bin_grid()[0])),
-             evaluator.getMetricName(), float(m), float(s), i == best_i)
-            for i, (pm, m, s) in enumerate(zip(grid, means, stds))]
+    evaluator = selection_evaluator(fx.task)
+    folded = with_folds(rows.train, rows.key, folds, FOLD)
+    settings = rows.opts.settings()
+
+    def judged(job: tuple[int, int]) -> tuple[float, int]:
+        setting, fold = job
+        learner = ForestLearner.of(fx, settings[setting], rows.labels)
+        model = learner.fit(folded.where(F.col(FOLD) != fold))
+        held = model.transform(folded.where(F.col(FOLD) == fold))
+        n = held.count()
+        return (evaluator.evaluate(held) if n else math.nan), n
+
+    jobs = [(s, k) for s in range(len(settings)) for k in range(folds)]
+    got = dict(zip(jobs, _concurrently(judged, jobs, parallelism)))
+    name = evaluator.getMetricName()
+    fold_scores = spark.createDataFrame(
+        [(settings[s].trees, settings[s].bins, k, name, *got[s, k]) for s, k in jobs],
+        "trees int, bins int, fold int, metric string, value double, n_rows bigint")
+    values = [[v for k in range(folds) if not math.isnan(v := got[s, k][0])]
+              for s in range(len(settings))]
+    means = [statistics.fmean(v) if v else math.nan for v in values]
+    best_i = best_setting(means, evaluator.isLargerBetter())
     scores = spark.createDataFrame(
-        rows, "trees int, bins int, metric string, mean double, std double, chosen boolean")
-    model = cvm.bestModel
-    scored = model.transform(test_df)
-    final = None
-    if refit:
-        # Stated deviation: one fit of the chosen setting, not a second cross-validation.
-        all_w, _ = _weights(fx, opts, data)
-        final = pipeline.copy(grid[best_i]).fit(all_w)
-    return TrainResult(model, scored, evaluate(scored, fx.task), final, scores, best, cached)
+        [(o.trees, o.bins, name, m, statistics.pstdev(v) if v else math.nan, i == best_i)
+         for i, (o, m, v) in enumerate(zip(settings, means, values))],
+        "trees int, bins int, metric string, mean double, std double, chosen boolean")
+    chosen = settings[best_i]
+    learner = ForestLearner.of(fx, chosen, rows.labels)
+    # Stated deviation: one refit of the chosen setting, not a second cross-validation.
+    model, *final = _concurrently(learner.fit, [rows.train, rows.data] if refit else [rows.train])
+    scored = model.transform(rows.test)
+    return TrainResult(model, scored, evaluate(scored, fx.task), final[0] if final else None,
+                       scores, fold_scores, {"numTrees": chosen.trees, "maxBins": chosen.bins},
+                       build_pipeline(fx, replace(opts, trees=chosen.trees, bins=chosen.bins)),
+                       rows.report, rows.cached)
 
 
 # ---------------------------------------------------------------- inspection
 
+def flat_stages(model) -> list:
+    """Stages of a pipeline model, those of nested ones in place of them."""
+    return [x for s in model.stages for x in (flat_stages(s) if isinstance(s, PipelineModel) else [s])]
+
+
 def forest_stage(model: PipelineModel):
-    for stage in reversed(model.stages):
+    for stage in reversed(flat_stages(model)):
         if hasattr(stage, "trees"):
             return stage
     raise ValueError("pipeline has no forest stage")
@@ -351,10 +530,3 @@ def model_summary(model: PipelineModel, spark=None) -> DataFrame:
     row = (int(rf.getNumTrees), int(rf.totalNumNodes), int(max(depths) if depths else 0),
            int(rf.numFeatures), type(rf).__name__)
     return spark.createDataFrame([row], "trees int, nodes int, max_depth int, n_features int, kind string")
-
-
-def feature_importances(model: PipelineModel, names: Sequence[str], spark) -> DataFrame:
-    rf = forest_stage(model)
-    imp = rf.featureImportances.toArray().tolist()
-    rows = [(n, float(v)) for n, v in zip(names, imp)]
-    return spark.createDataFrame(rows, "feature string, importance double")

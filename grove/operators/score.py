@@ -15,9 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grove.operators.forest import forest_stage
 
-def _is_classifier(model: PipelineModel) -> bool:
-    return any(hasattr(s, "numClasses") for s in model.stages)
+
+def _classes(model: PipelineModel) -> int | None:
+    """Number of classes of the forest; None for regression."""
+    return getattr(forest_stage(model), "numClasses", None)
 
 
 def score(model: PipelineModel, df: DataFrame, keep: Sequence[str] = (),
@@ -28,10 +31,10 @@ def score(model: PipelineModel, df: DataFrame, keep: Sequence[str] = (),
     out = model.transform(df)
     cols = [F.col(c) for c in keep] + [F.col("prediction")]
     cols += [F.col(c) for c in out.columns if c.startswith("predicted_")]
-    if _is_classifier(model) and probability:
+    n_classes = _classes(model)
+    if n_classes and probability:
         prob = vector_to_array(F.col("probability"))
         cols.append(F.array_max(prob).alias("confidence"))
-        n_classes = next(s.numClasses for s in model.stages if hasattr(s, "numClasses"))
         if n_classes == 2:
             cols.append(prob[1].alias("p_positive"))
     return out.select(*cols)
@@ -53,19 +56,37 @@ def preview(df: DataFrame, order: Sequence[str], n: int = 1) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+#: Text form of a time in a profile.
+TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
 def dataset_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One pass, one row per column: n_rows, n_nulls, min_value, max_value (as double)."""
-    numeric = (T.NumericType, T.BooleanType)
-    columns = list(columns or [f.name for f in df.schema.fields
-                               if isinstance(f.dataType, numeric)])
-    aggs = [F.count(F.lit(1)).alias("_rows")]
+    """One pass, one row per column: n_rows, n_nulls, and the least and greatest value in
+    the column's own kind: min_long/max_long (integers, exact), min_double/max_double (fractions;
+    decimals as double), min_text/max_text (texts; times as ``TIME_FORMAT``, dates in ISO form,
+    booleans as ``true``/``false``).  Other kinds (arrays, maps) have their counts alone."""
+    columns = list(columns or df.columns)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    none = {"long": F.lit(None).cast("long"), "double": F.lit(None).cast("double"),
+            "text": F.lit(None).cast("string")}
+    aggs, rows = [F.count(F.lit(1)).alias("_rows")], []
     for i, c in enumerate(columns):
-        v = F.col(c).cast("double")
-        # "+ 0.0" reports a signed zero as 0 whichever zero the engine keeps.
-        aggs += [F.count(F.col(c)).alias(f"_nn{i}"), (F.min(v) + 0.0).alias(f"_mn{i}"),
-                 (F.max(v) + 0.0).alias(f"_mx{i}")]
-    wide = df.agg(*aggs)
-    pieces = ", ".join(f"'{c}', _rows, _rows - _nn{i}, _mn{i}, _mx{i}"
-                       for i, c in enumerate(columns))
-    return wide.selectExpr(
-        f"stack({len(columns)}, {pieces}) as (column_name, n_rows, n_nulls, min_value, max_value)")
+        v, t = F.col(f"`{c}`"), kinds[c]
+        aggs.append(F.count(v).alias(f"_nn{i}"))
+        shape = None
+        if isinstance(t, T.IntegralType):
+            shape, form = "long", lambda x: x.cast("long")
+        elif isinstance(t, (T.FractionalType,)):
+            # "+ 0.0" reports a signed zero as 0 whichever zero the engine keeps.
+            shape, form = "double", lambda x: x.cast("double") + 0.0
+        elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+            shape, form = "text", lambda x: F.date_format(x, TIME_FORMAT)
+        elif isinstance(t, (T.StringType, T.DateType, T.BooleanType)):
+            shape, form = "text", lambda x: x.cast("string")
+        if shape:
+            aggs += [form(F.min(v)).alias(f"_mn{i}"), form(F.max(v)).alias(f"_mx{i}")]
+        ends = [(F.col(f"_{e}{i}") if k == shape else none[k]).alias(f"{w}_{k}")
+                for k in none for e, w in (("mn", "min"), ("mx", "max"))]
+        rows.append(F.struct(F.lit(c).alias("column_name"), F.col("_rows").alias("n_rows"),
+                             (F.col("_rows") - F.col(f"_nn{i}")).alias("n_nulls"), *ends))
+    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")

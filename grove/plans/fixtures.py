@@ -8,33 +8,20 @@ prunes the scan to the columns used.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grove.sources.tables import spread, table
-
-
-@dataclass(frozen=True)
-class Fixture:
-    frame: DataFrame
-    target: str
-    features: list[str]
-    key: list[str]
-    task: str                      # regression | binary | multiclass
-    positive: object | None = None
-    vector: str | None = None      # name of a ready array/vector feature column, if any
-    extra: dict = field(default_factory=dict)
+from grove.operators.dataset import Fixture
+from grove.sources.tables import table
 
 
 def net_price_expr() -> Column:
     return F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))
 
 
-def net_price(spark: SparkSession, sf_dir: str) -> Fixture:
+def net_price(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> Fixture:
     """Regression: net price of a line from its price, discount and quantity."""
-    li = table(spark, sf_dir, "lineitem", spread_out=True)
+    li = table(spark, sf_dir, "lineitem", partitions)
     frame = li.select("l_orderkey", "l_linenumber",
                       net_price_expr().alias("net_price"),
                       "l_extendedprice", "l_discount", "l_quantity")
@@ -60,16 +47,19 @@ def text_features(text: Column) -> list[Column]:
             F.coalesce(distinct, F.lit(0.0)).alias("distinct_share")]
 
 
-def doc_quality(spark: SparkSession, sf_dir: str) -> Fixture:
-    """Binary: quality label of a document from its length and word statistics."""
-    docs = table(spark, sf_dir, "documents", spread_out=True).select("doc_id", "text", "n_chars")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+def doc_quality(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> Fixture:
+    """Binary: quality label of a document from its length and word statistics.
+
+    The four numbers are computed before the join, so no text is shuffled by it.
+    """
+    docs = table(spark, sf_dir, "documents", partitions).select(
+        "doc_id", F.col("n_chars").cast("double").alias("n_chars"), *text_features(F.col("text")))
+    labels = table(spark, sf_dir, "labels").select(
+        "doc_id", F.col("quality").cast("double").alias("quality"))
     # Plain equi-join: AQE broadcasts the labels side at run time only when its
     # measured size is under the threshold, otherwise it sort-merges.
-    joined = labels.join(docs, "doc_id")
-    frame = joined.select("doc_id", F.col("quality").cast("double").alias("quality"),
-                          F.col("n_chars").cast("double").alias("n_chars"),
-                          *text_features(F.col("text")))
+    frame = labels.join(docs, "doc_id").select(
+        "doc_id", "quality", "n_chars", "n_words", "non_letter_share", "distinct_share")
     return Fixture(frame, "quality",
                    ["n_chars", "n_words", "non_letter_share", "distinct_share"],
                    ["doc_id"], "binary", positive=1.0)
@@ -87,10 +77,9 @@ def letter_share(text: Column, letter: str) -> Column:
                       F.lit(0.0))
 
 
-def doc_lang(spark: SparkSession, sf_dir: str) -> Fixture:
-    """Multiclass: language of a non-empty document from its letter shares."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    docs = spread(docs.where(F.length(F.trim("text")) > 0))
+def doc_lang(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> Fixture:
+    """Multiclass: language of a document from its letter shares (0 for a blank or null text)."""
+    docs = table(spark, sf_dir, "documents", partitions).select("doc_id", "text", "lang")
     names = [f"share_{i:02d}" for i in range(len(LANG_LETTERS))]
     frame = docs.select("doc_id", "lang",
                         *[letter_share(F.col("text"), c).alias(n)
@@ -143,7 +132,8 @@ def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 WIDE_FEATURES = 512
 
 
-def wide_docs(spark: SparkSession, sf_dir: str, width: int = WIDE_FEATURES) -> Fixture:
+def wide_docs(spark: SparkSession, sf_dir: str, partitions: int | None = None,
+              width: int = WIDE_FEATURES) -> Fixture:
     """Wide regression in the reference's shape: one row per document, ``width``
     hashed token counts of the whole text as features, log length as target.
 
@@ -152,7 +142,7 @@ def wide_docs(spark: SparkSession, sf_dir: str, width: int = WIDE_FEATURES) -> F
     """
     from pyspark.ml.feature import HashingTF, RegexTokenizer
 
-    docs = table(spark, sf_dir, "documents", spread_out=True).select("doc_id", "text", "n_chars")
+    docs = table(spark, sf_dir, "documents", partitions).select("doc_id", "text", "n_chars")
     tokens = RegexTokenizer(inputCol="text", outputCol="tokens", pattern=r"\W+",
                             toLowercase=True).transform(docs)
     hashed = HashingTF(inputCol="tokens", outputCol="token_counts",
@@ -161,12 +151,3 @@ def wide_docs(spark: SparkSession, sf_dir: str, width: int = WIDE_FEATURES) -> F
                           "token_counts")
     return Fixture(frame, "log_chars", [], ["doc_id"], "regression", vector="token_counts")
 
-
-FIXTURES = {
-    "net_price": net_price,
-    "doc_quality": doc_quality,
-    "doc_lang": doc_lang,
-    "embedding_label": embedding_label,
-    "order_noise": order_noise,
-    "wide_docs": wide_docs,
-}

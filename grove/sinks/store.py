@@ -12,8 +12,6 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.ml.functions import vector_to_array
 
 from grove.sources.delimited import write_delimited
 
@@ -40,15 +38,17 @@ def load_pipeline(path: str) -> Pipeline:
     return Pipeline.load(path)
 
 
-def flat(df: DataFrame, vector: str | None = None, width: int | None = None,
-         prefix: str = "f") -> DataFrame:
-    """Vectors/arrays become ``f0..f{width-1}`` double columns (CSV has no arrays)."""
-    if vector is None:
-        return df
-    col = F.col(vector)
-    arr = vector_to_array(col) if "Vector" in type(df.schema[vector].dataType).__name__ else col
-    rest = [c for c in df.columns if c != vector]
-    return df.select(*rest, *[arr[i].cast("double").alias(f"{prefix}{i}") for i in range(width)])
+def save_tuned(result, path: str) -> str:
+    """The final model of a training result (else the training side's), and beside it the
+    pipeline it came from: one unfitted estimator at the chosen setting."""
+    save_model(result.final or result.model, f"{path.rstrip('/')}/model")
+    save_pipeline(result.pipeline, f"{path.rstrip('/')}/pipeline")
+    return path
+
+
+def load_tuned(path: str) -> tuple[PipelineModel, Pipeline]:
+    """(model, pipeline) that ``save_tuned`` wrote; ``pipeline.fit`` retrains."""
+    return load_model(f"{path.rstrip('/')}/model"), load_pipeline(f"{path.rstrip('/')}/pipeline")
 
 
 def export_split(train: DataFrame, test: DataFrame, path: str, columns: Sequence[str],

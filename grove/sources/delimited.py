@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grove.sources.tables import spread
+
 
 def read_table(spark: SparkSession, path: str | Sequence[str], sep: str = ";",
                header: bool = True, schema: T.StructType | str | None = None,
@@ -25,25 +27,21 @@ def read_table(spark: SparkSession, path: str | Sequence[str], sep: str = ";",
 
     ``repeated_header``: copies of the header line inside the data (the
     reference drops *every* line equal to the first) are removed before types
-    are decided.  ``partitions``: spread a file that arrives in fewer splits.
+    are decided.  ``partitions``: deal the rows to so many tasks.
     """
     reader = spark.read.options(sep=sep, header=str(header).lower(), nullValue=null_value,
                                 mode="FAILFAST")
-    paths = path if isinstance(path, (list, tuple)) else [path]
+    paths = list(path) if isinstance(path, (list, tuple)) else [path]
     if repeated_header and header:
-        raw = reader.options(inferSchema="false").csv(list(paths))
-        df = drop_header_copies(raw)
-        if schema is not None:
-            df = apply_schema(df, schema)
-        elif infer:
-            df = apply_schema(df, infer_types(df))
+        raw = drop_header_copies(reader.options(inferSchema="false").csv(paths))
+        if schema is None and infer:
+            schema = infer_types(raw)
+        df = raw if schema is None else apply_schema(raw, schema)
     elif schema is not None:
-        df = reader.schema(schema).csv(list(paths))
+        df = reader.schema(schema).csv(paths)
     else:
-        df = reader.options(inferSchema=str(infer).lower()).csv(list(paths))
-    if partitions and df.rdd.getNumPartitions() < partitions:
-        df = df.repartition(partitions)
-    return df
+        df = reader.options(inferSchema=str(infer).lower()).csv(paths)
+    return spread(df, partitions)
 
 
 def drop_header_copies(df: DataFrame) -> DataFrame:
@@ -54,38 +52,43 @@ def drop_header_copies(df: DataFrame) -> DataFrame:
     return df.where(~F.coalesce(is_header, F.lit(False)))
 
 
+#: Types of inferred columns, narrowest first, with the cast that decides them (fixed values:
+#: the order in which Spark's own CSV inference tries them).
+_LADDER = ("int", "bigint", "double", "date", "timestamp", "boolean")
+_INTEGRAL = r"^[+-]?[0-9]{1,19}$"
+_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+
+
 def infer_types(df: DataFrame) -> T.StructType:
-    """Narrowest of int / bigint / double / string per text column, in one aggregate.
+    """Types of text columns as Spark's CSV inference gives them, in one aggregate: the
+    first of int, bigint, double, date, timestamp and boolean that every value but null
+    has; else, and without any value, text.
 
-    A regex decides integral text first, so casts that would fail (and cost an
-    exception per value) are never attempted.
+    Patterns stand before the casts that would raise an error per value.
     """
-    int_text = r"^\s*[+-]?[0-9]+\s*$"
     checks = []
     for i, c in enumerate(df.columns):
-        col = F.col(f"`{c}`")
-        integral = col.rlike(int_text)
-        as_long = F.when(integral, col.try_cast("bigint"))
-        checks += [
-            F.bool_and(col.isNull() | (integral & as_long.isNotNull())).alias(f"_{i}_long"),
-            F.min(as_long).alias(f"_{i}_min"),
-            F.max(as_long).alias(f"_{i}_max"),
-            F.bool_and(col.isNull() | integral | col.try_cast("double").isNotNull()).alias(f"_{i}_dbl"),
-        ]
+        v = F.trim(F.col(f"`{c}`"))
+        digits = v.rlike(_INTEGRAL)
+        date = v.rlike(_DATE)
+        fits = {
+            "int": digits & v.try_cast("int").isNotNull(),
+            "bigint": digits & v.try_cast("bigint").isNotNull(),
+            "double": digits | v.try_cast("double").isNotNull(),
+            "date": date & v.try_cast("date").isNotNull(),
+            "timestamp": v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T]") & v.try_cast("timestamp").isNotNull(),
+            "boolean": F.lower(v).isin("true", "false"),
+        }
+        checks += [F.bool_and(v.isNull() | F.coalesce(fits[t], F.lit(False))).alias(f"_{i}_{t}")
+                   for t in _LADDER]
+        checks.append(F.count(v).alias(f"_{i}_n"))
     row = df.agg(*checks).first()
-    fields = []
-    for i, c in enumerate(df.columns):
-        is_long, lo, hi, is_dbl = (row[f"_{i}_{k}"] for k in ("long", "min", "max", "dbl"))
-        if is_long and lo is not None and -2**31 <= lo and hi < 2**31:
-            typ = T.IntegerType()
-        elif is_long and lo is not None:
-            typ = T.LongType()
-        elif is_dbl and (lo is not None or is_long is False):
-            typ = T.DoubleType()
-        else:
-            typ = T.StringType()
-        fields.append(T.StructField(c, typ, True))
-    return T.StructType(fields)
+
+    def kind(i: int) -> str:
+        return next((t for t in _LADDER if row[f"_{i}_n"] and row[f"_{i}_{t}"]), "string")
+
+    return T.StructType([T.StructField(c, T._parse_datatype_string(kind(i)), True)
+                         for i, c in enumerate(df.columns)])
 
 
 def apply_schema(df: DataFrame, schema: T.StructType | str, tolerant: bool = False) -> DataFrame:
@@ -102,11 +105,25 @@ def cast_target(df: DataFrame, target: str, tolerant: bool = False) -> DataFrame
     return df.withColumn(target, col.try_cast("double") if tolerant else col.cast("double"))
 
 
-def positional_label(df: DataFrame, label: str = "label") -> tuple[DataFrame, list[str]]:
-    """A3: column 0 is the label (renamed ``label``, as double); the rest are features."""
+def as_doubles(df: DataFrame, columns: Sequence[str], tolerant: bool = False) -> DataFrame:
+    """The named columns as double; text that is no number fails, or is null when tolerant."""
+    own = set(columns)
+
+    def cell(c: str) -> Column:
+        v = F.col(f"`{c}`")
+        if c not in own:
+            return v
+        return (v.try_cast("double") if tolerant else v.cast("double")).alias(c)
+
+    return df.select(*[cell(c) for c in df.columns])
+
+
+def positional_label(df: DataFrame, label: str = "label",
+                     tolerant: bool = False) -> tuple[DataFrame, list[str]]:
+    """A3: column 0 is the label (renamed ``label``), the rest are features; all as double."""
     first, *rest = df.columns
-    out = df.select(F.col(f"`{first}`").cast("double").alias(label), *[F.col(f"`{c}`") for c in rest])
-    return out, rest
+    out = as_doubles(df, df.columns, tolerant)
+    return out.select(F.col(f"`{first}`").alias(label), *[F.col(f"`{c}`") for c in rest]), rest
 
 
 def checked_class_label(col: Column, n_classes: int | None = None) -> Column:
@@ -121,10 +138,11 @@ def checked_class_label(col: Column, n_classes: int | None = None) -> Column:
 
 def class_label_scan(df: DataFrame, n_classes: int | None = None,
                      label: str = "label") -> tuple[DataFrame, list[str]]:
-    """A4: positional scan whose label is a checked class index."""
+    """A4: positional scan whose label is a checked class index; features as double."""
     first, *rest = df.columns
-    out = df.select(checked_class_label(F.col(f"`{first}`"), n_classes).alias(label),
-                    *[F.col(f"`{c}`") for c in rest])
+    out = as_doubles(df, rest).select(
+        checked_class_label(F.col(f"`{first}`"), n_classes).alias(label),
+        *[F.col(f"`{c}`") for c in rest])
     return out, rest
 
 

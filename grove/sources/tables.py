@@ -8,26 +8,21 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
-def table(spark: SparkSession, data_dir: str, name: str, spread_out: bool = False) -> DataFrame:
+def table(spark: SparkSession, data_dir: str, name: str,
+          partitions: int | None = None) -> DataFrame:
     """Lazy parquet scan; Catalyst prunes columns and pushes filters into it.
 
-    ``spread_out``: for CPU-heavy work on a table stored in fewer splits than
-    the cluster has cores (see :func:`spread`).
+    ``partitions`` (A6): deal the rows to so many tasks, for CPU-heavy work on a file that
+    cannot be split.
     """
     df = spark.read.parquet(f"{data_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if spread_out else df
+    return spread(df, partitions)
 
 
-def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Give a frame at least ``partitions`` (default: the cluster's default
-    parallelism) partitions.
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """``df`` in ``partitions`` partitions (one round-robin shuffle), or as it is for None.
 
-    A frame that already has that many - any large input - is returned as is,
-    so this adds a shuffle only where a small file arrives in one split.  The
-    round-robin repartition is deterministic on retry (rows are sorted before
-    it, ``spark.sql.execution.sortBeforeRepartition``).
+    The number is the caller's alone: nothing is read off the input or the cluster.  The
+    deal is repeatable on retry (``spark.sql.execution.sortBeforeRepartition``).
     """
-    want = partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    return df if partitions is None else df.repartition(partitions)
