@@ -71,7 +71,7 @@ LINEITEM_KINDS = {
 
 def profile_sql(table: str, kinds: dict[str, str]) -> str:
     """One row per column, its ends in the column's own kind."""
-    types = {"long": "BIGINT", "double": "DOUBLE", "text": "VARCHAR"}
+    types = {"long": "VARCHAR", "double": "DOUBLE", "text": "VARCHAR"}
 
     def end(column: str, kind: str, shape: str, f: str) -> str:
         if shape != ("text" if kind == "time" else kind):

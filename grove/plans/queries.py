@@ -176,7 +176,8 @@ def q_preview(spark, d):
 
 def q_dataset_profile(spark, d):
     """Rows, nulls, least and greatest value of every column of lineitem."""
-    return dataset_profile(table(spark, d, "lineitem"))
+    out = dataset_profile(table(spark, d, "lineitem"))
+    return out.withColumns({c: F.col(c).cast("string") for c in ("min_long", "max_long")})
 
 
 # ------------------------------------------------------------------ features
@@ -575,9 +576,8 @@ def q_save_tuned(spark, d):
     r = tune(f, ForestOptions(trees=[2, 4], depth=6, subset="all"), folds=2)
     model, pipeline = load_tuned(save_tuned(r, scratch_path(spark, "tuned")))
     known = model.transform(f.frame).where("predicted_lang = 'none'").count()
-    share = F.col(f.features[0])
     more = f.frame.unionByName(f.frame.where("lang = 'en'").withColumns(
-        {"lang": F.lit("none"), f.features[0]: share + 5.0}))
+        {"lang": F.lit("none"), f.features[0]: F.lit(5.0)}))
     again = pipeline.fit(more).transform(more.where("lang = 'none'"))
     counts = again.agg(F.count(F.lit(1)).alias("n"),
                        F.count_if(F.col("predicted_lang") == "none").alias("hit")).first()
