@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import zlib
 from collections.abc import Iterator
 from itertools import islice
 
@@ -53,7 +54,7 @@ def kept_table(operator: str, parameters, make):
     return _TABLE[2]
 
 
-def _return_memory() -> None:
+def return_memory() -> None:
     """Give what has been freed back to the system: the allocators keep it otherwise, in every
     reused worker, beside the executor's heap."""
     pa.default_memory_pool().release_unused()
@@ -70,11 +71,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
     worker is freed first; that of ``table`` is cut back at the end."""
     if _TABLE and _TABLE[0] != table:
         _TABLE.clear()
-        _return_memory()
+        return_memory()
     yield from _slices(batches, text, limit)
-    if _TABLE and _TABLE[0] == table:
+    if _TABLE:
         _TABLE[2].shrink(IDLE_WORDS)
-        _return_memory()
+    return_memory()
 
 
 def _slices(batches: Iterator[pa.RecordBatch], text: str, limit: int):
@@ -160,6 +161,87 @@ class RecentWords:
         return out
 
 
+def _distinct_pairs(value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((row, value))
+    value, row = value[order], row[order]
+    new = np.ones(value.size, bool)
+    new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
+    return value[new], row[new]
+
+
+def _repeated(value: np.ndarray) -> np.ndarray:
+    """Which of the ascending values stand there more than once."""
+    same = value[1:] == value[:-1]
+    out = np.zeros(value.size, bool)
+    out[1:] |= same
+    out[:-1] |= same
+    return out
+
+
+def repeated_values(frame: DataFrame, text: str, pairs) -> DataFrame:
+    """(row, value): the values that two different rows of ``frame`` have; a pair may come twice.
+
+    ``pairs(batch, texts)`` gives the values of a slice of rows and the number of the row that
+    each belongs to (both 64-bit).  A slice sends lists of its values to buckets of their
+    range, twice as many as the session has shuffle partitions.  A value that several rows of
+    the slice have is known to repeat: its rows are passed on by any task, and the bucket is told
+    the value once, so no bucket grows with the rows of a frequent value.
+    """
+    buckets = 2 * int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, text):
+            value, row = _distinct_pairs(*pairs(batch, texts))
+            if not value.size:
+                continue
+            known = _repeated(value)
+            bucket = value.view(np.uint64) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+            out = []
+            for b in range(buckets):
+                at = order[cuts[b]:cuts[b + 1]]
+                if at.size:
+                    once = at[~known[at]]
+                    out.append((b, value[once], row[once], np.unique(value[at[known[at]]])))
+            anywhere = zlib.crc32(row.tobytes()) % buckets
+            out.append((-1 - anywhere, value[known], row[known], value[:0]))
+            cols = list(zip(*out))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], pa.int32())] + [pa.array(c, pa.list_(pa.int64())) for c in cols[1:]],
+                names=["bucket", "values", "rows", "known"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(parts, passed=False):
+            value, row = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            if not passed:
+                value, row = _distinct_pairs(value, row)
+                live = _repeated(value) | np.isin(value, np.concatenate([p[2] for p in parts]))
+                value, row = value[live], row[live]
+            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(value)], names=["row", "value"])
+
+        held, parts = None, []
+        for batch in batches:
+            cols = [batch.column(k) for k in range(4)]
+            for i, b in enumerate(cols[0].to_pylist()):
+                part = [c.values.slice(c.offsets[i].as_py(), len(c[i])).to_numpy() for c in cols[1:]]
+                if b < 0:
+                    yield found([part], passed=True)
+                    continue
+                if b != held and parts:
+                    yield found(parts)
+                    parts = []
+                held = b
+                parts.append(part)
+        if parts:
+            yield found(parts)
+
+    packed = frame.mapInArrow(
+        pack, "bucket int, values array<long>, rows array<long>, known array<long>")
+    dealt = packed.repartition(F.expr("if(bucket < 0, -1 - bucket, bucket)"))
+    return dealt.sortWithinPartitions("bucket").mapInArrow(meet, "row long, value long")
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back: the lineage
     is cut, and lost executors cost only the tasks that were running on them."""

@@ -28,15 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import LOWER_TABLE, WordIndex, free_names, offsets, shared_table, slices
+from grove.llm.common import (LOWER_TABLE, WordIndex, free_names, offsets, repeated_values,
+                              return_memory, shared_table, slices)
 
 #: Largest over smallest size of a band.
 BAND_RATIO = 1.4
 #: Column ranges over which an overlap is accumulated between two checks of its bound.
 COLUMN_RANGES = 8
 MAX_ROUNDS = 60
-#: Times that blocks are multiplied with two of their rows before the open rest meets.
-STAR_ROUNDS = 1
 #: Hash classes whose parities a set carries (a multiple of 64).
 PARITY_BITS = 512
 #: Open members of a block that one task holds against the others.
@@ -152,29 +151,31 @@ def _sizes(docs: DataFrame, text: str, key: str, n: int) -> DataFrame:
     return frame.mapInArrow(run, f"_key {kind}, n_shingles long, set_id binary")
 
 
-def _signatures(docs: DataFrame, text: str, n: int, percent: int, largest: int) -> DataFrame:
-    """(sig, set_id, size) for every column block of every set."""
+def _row_number(set_id: str = "set_id"):
+    """The first 8 bytes of a set's digest, as a number."""
+    return F.conv(F.hex(F.substring(F.col(set_id), 1, 8)), 16, -10).cast("long")
+
+
+def _shared_blocks(docs: DataFrame, text: str, classes: DataFrame, n: int, percent: int,
+                   largest: int) -> DataFrame:
+    """(sig, set_id, size): the column blocks of every set that another set has, too."""
     bands = size_bands(max(1, 100 * largest // percent + 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in slices(batches, "_text"):
-            seen = {}
-            for s in ngram_sets(texts, n):
-                if s.size:
-                    seen.setdefault(_digest(s), s)
-            if not seen:
-                continue
-            sigs = [block_signatures(s, percent, bands) for s in seen.values()]
-            count = [s.size for s in sigs]
-            row = np.repeat(np.arange(len(sigs)), count)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(sigs).view(np.int64)),
-                 pa.array(list(seen), pa.binary()).take(pa.array(row)),
-                 pa.array(np.repeat([s.size for s in seen.values()], count), pa.int64())],
-                names=["sig", "set_id", "size"])
+    def pairs(batch: pa.RecordBatch, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        seen = {}
+        for s in ngram_sets(texts, n):
+            if s.size:
+                seen.setdefault(_digest(s), s)
+        sigs = [block_signatures(s, percent, bands) for s in seen.values()]
+        number = np.array([int.from_bytes(d[:8], "big", signed=True) for d in seen], dtype=np.int64)
+        if not sigs:
+            return number, number
+        return np.concatenate(sigs).view(np.int64), np.repeat(number, [s.size for s in sigs])
 
-    return (docs.select(F.col(text).cast("string").alias("_text"))
-            .mapInArrow(run, "sig long, set_id binary, size long"))
+    found = repeated_values(docs.select(F.col(text).cast("string").alias("_text")), "_text", pairs)
+    # equal numbers of two sets only make more candidates, which are multiplied all the same
+    named = classes.select(_row_number().alias("row"), "set_id", "size")
+    return found.join(named, "row").select(F.col("value").alias("sig"), "set_id", "size")
 
 
 def _sets(docs: DataFrame, text: str, key: str, chosen: DataFrame, n: int) -> DataFrame:
@@ -209,6 +210,8 @@ def _multiply(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(c)).filter(pa.array(ok, pa.bool_()))
                  for c in ("a", "b")], names=["a", "b"])
+        batch = ga = gb = None
+        return_memory()
 
     return joined.select("a", "b", "_ga", "_gb").mapInArrow(run, "a binary, b binary")
 
@@ -256,8 +259,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         raise ValueError("percent has to lie above 72 and not above 100")
     rows = shared_table(_sizes(docs, text, key, n), "ngram-sizes")
     known = rows.where(F.col("_key").isNotNull() & F.col("set_id").isNotNull())
-    classes = known.groupBy("set_id").agg(F.min("_key").alias("_key"),
-                                          F.count("*").alias("_n"))
+    classes = known.groupBy("set_id").agg(F.min("_key").alias("_key"), F.count("*").alias("_n"),
+                                          F.max("n_shingles").alias("size"))
     links = _links(docs.where(F.col(key).isNotNull()), text, key, classes, n, percent,
                    int(rows.agg(F.max("n_shingles")).first()[0] or 0))
     root = components(links) if links is not None else None
@@ -280,11 +283,11 @@ def _links(docs, text, key, classes, n, percent, largest) -> DataFrame | None:
     """Links (a, b) of set ids that connect exactly what all links connect."""
     if not largest:
         return None
-    sigs = _signatures(docs, text, n, percent, largest)
-    heads = (sigs.groupBy("sig").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi"))
-             .where("lo <> hi"))
+    placed = shared_table(_shared_blocks(docs, text, classes, n, percent, largest).distinct(),
+                          "ngram-placed")
+    heads = placed.groupBy("sig").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi"))
     # column blocks that at least two sets share, with the two heads of each
-    shared = shared_table(sigs.join(heads, "sig").distinct(), "ngram-blocks")
+    shared = shared_table(placed.join(heads.where("lo <> hi"), "sig"), "ngram-blocks")
     star = (shared.select("set_id", F.explode(F.array("lo", "hi")).alias("b"))
             .where("set_id <> b")
             .select(F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b"))
@@ -293,18 +296,6 @@ def _links(docs, text, key, classes, n, percent, largest) -> DataFrame | None:
     sets = shared_table(_sets(docs, text, key, classes.join(members, "set_id", "left_semi"), n)
                         .dropDuplicates(["set_id"]), "ngram-sets")
     done = shared_table(_multiply(star, sets, percent), "ngram-links")
-    for turn in range(1, STAR_ROUNDS):
-        left = _open_blocks(shared, done)
-        order = F.struct(F.xxhash64("set_id", F.lit(turn)), "set_id", "root")
-        heads = left.groupBy("sig").agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-        star = (left.join(heads, "sig").withColumn("h", F.explode(F.array("lo", "hi")))
-                .where("root <> h.root")
-                .select(F.least("set_id", "h.set_id").alias("a"),
-                        F.greatest("set_id", "h.set_id").alias("b")).distinct())
-        more = shared_table(_multiply(star, sets, percent), "ngram-links")
-        if more.isEmpty():
-            break
-        done = done.unionByName(more)
     rest = _within_bound(_open_blocks(shared, done), sets, percent)
     return done.unionByName(shared_table(_multiply(rest, sets, percent), "ngram-rest"))
 

@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grove.llm.common import WordIndex, free_names, offsets, ranges, shared_table, slices
+from grove.llm.common import (WordIndex, free_names, offsets, ranges, repeated_values,
+                              shared_table, slices)
 
 WINDOW = 13
 #: Words of an anchor gram.
@@ -171,84 +172,15 @@ def _read(batches, columns: tuple[str, ...], text: str, window: int, gram: int):
         yield at, split, anchored_windows(split, window, gram)
 
 
-def _distinct_pairs(anchor: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((row, anchor))
-    anchor, row = anchor[order], row[order]
-    new = np.ones(anchor.size, bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
-    return anchor[new], row[new]
-
-
-def _shared(anchor: np.ndarray) -> np.ndarray:
-    """Which of the ascending anchors stand there more than once."""
-    same = anchor[1:] == anchor[:-1]
-    out = np.zeros(anchor.size, bool)
-    out[1:] |= same
-    out[:-1] |= same
-    return out
-
-
 def _live(rows: DataFrame, window: int, gram: int) -> DataFrame:
     """(rid, anchors): the anchors of each document that another document has, too."""
-    spark = rows.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def pairs(batch: pa.RecordBatch, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        split = [[] if t is None else t.split() for t in texts]
+        text, _, anchor = anchored_windows(split, window, gram)
+        return anchor, batch.column(batch.schema.get_field_index("rid")).to_numpy()[text]
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
-        for (rid,), split, (text, _, anchor) in _read(batches, ("rid",), "text", window, gram):
-            if not anchor.size:
-                continue
-            anchor, row = _distinct_pairs(anchor, rid.to_numpy()[text])
-            known = _shared(anchor)
-            bucket = anchor.view(np.uint64) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            out = []
-            for b in range(buckets):
-                at = order[cuts[b]:cuts[b + 1]]
-                if at.size:
-                    once = at[~known[at]]
-                    out.append((b, anchor[once], row[once], np.unique(anchor[at[known[at]]])))
-            # Shared inside the slice, so nothing to look up: any bucket's task may pass them on.
-            turn += 1
-            place = int(xxhash.xxh3_64_intdigest(rid.to_numpy().tobytes()) % buckets) + turn
-            out.append((-1 - place % buckets, anchor[known], row[known], anchor[:0]))
-            cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int32())] + [pa.array(c, pa.list_(pa.int64())) for c in cols[1:]],
-                names=["bucket", "anchors", "rids", "known"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(parts):
-            anchor, row = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-            if parts[0][2] is not None:
-                anchor, row = _distinct_pairs(anchor, row)
-                live = _shared(anchor) | np.isin(anchor, np.concatenate([p[2] for p in parts]))
-                anchor, row = anchor[live], row[live]
-            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(anchor)], names=["rid", "anchor"])
-
-        held, parts = None, []
-        for batch in batches:
-            cols = [batch.column(k) for k in range(4)]
-            lists = [[c.values.slice(c.offsets[i].as_py(), len(c[i])).to_numpy() for c in cols[1:]]
-                     for i in range(batch.num_rows)]
-            for b, part in zip(cols[0].to_pylist(), lists):
-                if b < 0:
-                    yield found([(part[0], part[1], None)])
-                    continue
-                if b != held and parts:
-                    yield found(parts)
-                    parts = []
-                held = b
-                parts.append(part)
-        if parts:
-            yield found(parts)
-
-    packed = rows.select("rid", "text").mapInArrow(
-        pack, "bucket int, anchors array<long>, rids array<long>, known array<long>")
-    by_bucket = packed.repartition(F.expr("if(bucket < 0, -1 - bucket, bucket)")).sortWithinPartitions("bucket")
-    return (by_bucket.mapInArrow(meet, "rid long, anchor long")
-            .groupBy("rid").agg(F.collect_list("anchor").alias("anchors")))
+    return (repeated_values(rows.select("rid", "text"), "text", pairs)
+            .groupBy(F.col("row").alias("rid")).agg(F.collect_list("value").alias("anchors")))
 
 
 def _occurrences(rows: DataFrame, live: DataFrame, window: int, gram: int) -> DataFrame:
