@@ -224,6 +224,7 @@ ORACLE |= {
     "train_weighted": facts("documents", _DOC_TEST, trees=10, good=True),
     "train_selected": facts("documents", _DOC_TEST, trees=20, n_features=8, good=True),
     "tune_regression": facts("lineitem", _LINE_TEST, n_settings=2, good=True, refit_as_chosen=True),
+    "wide_tune_regression": facts("documents", _DOC_TEST, n_settings=2, good=True, refit_as_chosen=True),
     "tune_classification": facts("documents", _DOC_TEST, n_settings=2, good=True, refit_as_chosen=True),
     "pipeline_roundtrip": facts("documents", _DOC_TEST, trees=20,
                                 n_judged=f"count(*) FILTER (WHERE {_DOC_TEST})", good=True),

@@ -606,6 +606,15 @@ def q_wide_regression(spark, d):
                   good=_at_least(r, "r2", 0.5))
 
 
+def q_wide_tune_regression(spark, d):
+    """The reference's other timed shape: a grid of 50 and 1 trees, depth 30, 3 folds, one refit."""
+    f = fx.wide_docs(spark, d, _tasks(spark))
+    r = tune(f, ForestOptions(trees=[50, 1], depth=30, partitions=8), folds=3)
+    best = r.scores.where("chosen").first()
+    return _facts(spark, r, n_settings=r.scores.count(), good=_at_least(r, "r2", 0.3)).select(
+        "n_used", "n", "n_settings", "good", (F.lit(best.trees) == F.col("trees")).alias("refit_as_chosen"))
+
+
 def q_pipeline_roundtrip(spark, d):
     """The unfitted pipeline saved beside the model, loaded, refit."""
     f = fx.doc_lang(spark, d, _tasks(spark))
