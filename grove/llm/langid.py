@@ -1,13 +1,20 @@
 """Language identification with averaged hashed subword embeddings.
 
-A text's subwords are the byte n-grams of its words (``<word>``), hashed into a fixed
-number of buckets; the mean of their embeddings goes into a linear softmax.  Embeddings
+A text's subwords are the byte n-grams of its words without a digit (``<word>``), hashed into
+a fixed number of buckets; the mean of their embeddings goes into a linear softmax.  Embeddings
 and softmax are trained together by stochastic gradient descent in numpy on a bounded
-sample of labelled rows.  A part of the sample that the descent does not see sets the
-temperature of the softmax and the probability below which a prediction is rejected.
+sample of labelled rows.
+
+A softmax over the learned languages has to choose one of them for any text, so a rejection
+needs a second figure: the familiarity of a text, the mean log frequency of its subwords in
+the language that knows a word best, as a distance from a language's own texts in standard
+deviations for its length.  A part of the sample that the descent does not see sets the temperature of
+the softmax and the familiarity below which a prediction is rejected: its rows count as known
+texts under their own language, and as texts of a language never learned when that language
+is struck out.
 
 For scoring, embeddings and softmax are folded into one table of bucket -> score per
-language, and a worker keeps the summed scores of the words it has met.
+language, beside the log frequencies, and a worker keeps the sums of the words it has met.
 """
 
 from __future__ import annotations
@@ -32,12 +39,16 @@ SAMPLE_PER_LANG = 600
 #: Most languages; more distinct values raise an error.
 MAX_LANGS = 400
 EPOCHS = 12
-#: Share of right calibration rows that the rejection threshold may give up, and its cap.
-REJECT_SHARE = 0.0005
-REJECT_CAP = 0.4
+#: A known text that is rejected costs the calibration as much as so many unknown ones kept.
+KNOWN_COST = 1000
+#: Count that every subword has beforehand in a language.
+PRIOR_COUNT = 0.1
+#: Subwords of one sampled row that count towards the frequencies.
+ROW_WEIGHT = 2000
 CACHE_WORDS = 300_000
 
 RESULT = "lang_pred string, score double, rejected boolean"
+_DIGIT = re.compile(rb"[0-9]")
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -72,33 +83,46 @@ def has_letter(text: bytes) -> bool:
 
 @dataclass
 class LangModel:
-    """Folded model: ``table[bucket]`` holds a score per language."""
+    """Folded model: ``table[bucket]`` holds a score per language, ``familiar[bucket]`` a log
+    frequency; ``centre``, ``spread`` and ``noise`` (variance of long texts, and of one
+    subword) describe the familiarity of a language's own texts."""
 
     langs: list[str]
     table: np.ndarray
     bias: np.ndarray
-    temperature: float
-    reject_below: float
+    familiar: np.ndarray
+    centre: np.ndarray
+    spread: np.ndarray
+    noise: np.ndarray
+    temperature: float = 1.0
+    reject_below: float = -np.inf
 
     def probabilities(self, mean: np.ndarray) -> np.ndarray:
         z = (mean + self.bias) / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
+    def distances(self, mean: np.ndarray, grams: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """``mean``, familiarity less the centre, of rows with ``grams`` subwords, in standard
+        deviations of texts of ``lang``."""
+        return mean / np.sqrt(self.spread[lang] + self.noise[lang] / np.maximum(grams, 1))
+
 
 class Scorer:
-    """Summed scores and n-gram counts of words, kept per worker."""
+    """Summed scores, log frequencies and n-gram counts of words, kept per worker."""
 
     def __init__(self, model: LangModel):
         self.model = model
+        self.table = np.concatenate([model.table, model.familiar], axis=1)
         self.reset()
 
     def reset(self):
         self.index = WordIndex()
-        self.sums = np.zeros((0, len(self.model.langs)))
+        self.sums = np.zeros((0, len(self.model.langs) + 1))
         self.grams = np.zeros(0, np.int64)
 
-    def probabilities(self, texts: list[bytes]) -> np.ndarray:
+    def judge(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(language number, probability, familiarity in deviations) of each text."""
         if len(self.index) > CACHE_WORDS:
             self.reset()
         split = [split_alnum(t) for t in texts]
@@ -107,15 +131,24 @@ class Scorer:
         if fresh:
             bucket, grams = subwords(fresh)
             at = offsets(grams)[:-1]
-            sums = np.add.reduceat(self.model.table[bucket], at, axis=0)
-            self.sums = np.concatenate([self.sums, sums])
+            sums = np.add.reduceat(self.table[bucket], at, axis=0)
+            number = [k for k, w in enumerate(fresh) if _DIGIT.search(w)]
+            sums[number], grams[number] = 0.0, 0            # keys and numbers tell nothing
+            langs = len(self.model.langs)
+            # the language that knows a word best: a text in two learned languages is known
+            known = (sums[:, langs:] - self.model.centre * grams[:, None]).max(axis=1)
+            self.sums = np.concatenate([self.sums, np.c_[sums[:, :langs], known]])
             self.grams = np.concatenate([self.grams, grams])
         bound = offsets([len(ws) for ws in split])
         row = np.repeat(np.arange(len(texts)), np.diff(bound))
         total = np.bincount(row, self.grams[numbers], len(texts))
         mean = np.stack([np.bincount(row, self.sums[numbers, k], len(texts))
-                         for k in range(len(self.model.langs))], axis=1)
-        return self.model.probabilities(mean / np.maximum(total, 1)[:, None])
+                         for k in range(self.sums.shape[1])], axis=1)
+        mean /= np.maximum(total, 1)[:, None]
+        p = self.model.probabilities(mean[:, :-1])
+        best = p.argmax(axis=1)
+        return (best, p[np.arange(len(best)), best],
+                self.model.distances(mean[:, -1], total, best))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +159,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = batch.column(batch.schema.get_field_index("_part")).to_pylist()
         rows: list[tuple] = []
         for t, lang, part in zip(texts, langs, parts):
-            words = split_alnum(t)
+            words = [w for w in split_alnum(t) if not _DIGIT.search(w)]
             if not words:
                 continue
             at = part * 7919 % len(words)
@@ -222,16 +255,30 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
     fitted = np.flatnonzero(~held)
     e, w, b = _descend([data[k] for k in fitted], y[fitted], len(langs), DIM, epochs, seed)
     table = e.astype(np.float64) @ w
-    model = LangModel(langs, table, b.astype(np.float64), 1.0, 0.0)
+    familiar = _frequencies([data[k] for k in fitted], y[fitted], len(langs))
+    zero = np.zeros(len(langs))
+    model = LangModel(langs, table, b.astype(np.float64), familiar, zero, zero, zero)
     check = np.flatnonzero(held) if held.any() else fitted
-    mean = np.stack([(table[data[k][0]] * (data[k][1] / data[k][1].sum())[:, None]).sum(0)
+    both = np.concatenate([table, familiar], axis=1)
+    mean = np.stack([(both[data[k][0]] * (data[k][1] / data[k][1].sum())[:, None]).sum(0)
                      for k in check])
-    _calibrate(model, mean, y[check])
+    grams = np.array([data[k][1].sum() for k in check], dtype=np.float64)
+    _calibrate(model, mean[:, :len(langs)], mean[:, len(langs):], grams, y[check])
     return model
 
 
-def _calibrate(model: LangModel, mean: np.ndarray, y: np.ndarray) -> None:
-    """Temperature of least log loss, and the rejection threshold."""
+def _frequencies(rows: list, y: np.ndarray, langs: int) -> np.ndarray:
+    """Log frequency of every bucket in each language."""
+    count = np.full((BUCKETS, langs), PRIOR_COUNT)
+    for (bucket, n), lang in zip(rows, y):
+        count[bucket, lang] += n * min(1.0, ROW_WEIGHT / float(n.sum()))
+    return np.log(count / count.sum(axis=0))
+
+
+def _calibrate(model: LangModel, mean: np.ndarray, known: np.ndarray, grams: np.ndarray,
+               y: np.ndarray) -> None:
+    """Temperature of least log loss, the languages' own familiarity, and the rejection
+    threshold."""
     best = None
     for t in np.geomspace(0.25, 16, 49):
         model.temperature = float(t)
@@ -240,10 +287,46 @@ def _calibrate(model: LangModel, mean: np.ndarray, y: np.ndarray) -> None:
         if best is None or loss < best[0]:
             best = (loss, float(t))
     model.temperature = best[1]
+    langs = len(model.langs)
+    figures = np.array([_own_familiarity(known[y == k, k], grams[y == k]) for k in range(langs)])
+    model.centre, model.spread, model.noise = figures.T
     p = model.probabilities(mean)
     right = p.argmax(axis=1) == y
-    floor = np.quantile(p[right].max(axis=1), REJECT_SHARE) if right.any() else 0.0
-    model.reject_below = float(min(REJECT_CAP, floor))
+    every = np.arange(len(y))
+    own = model.distances(known[every, y] - model.centre[y], grams, y)[right]
+    others = p.copy()
+    others[every, y] = -1.0                                 # as if never learned
+    next_best = others.argmax(axis=1)
+    strange = (model.distances(known[every, next_best] - model.centre[next_best], grams, next_best)
+               if langs > 1 else np.zeros(0))
+    model.reject_below = _threshold(own, strange)
+
+
+def _own_familiarity(mean: np.ndarray, grams: np.ndarray) -> tuple[float, float, float]:
+    """Median, variance of long texts and variance of a single subword; the variances from
+    medians, which a few strange rows do not move."""
+    if not mean.size:
+        return 0.0, 1e6, 1e6                                # nothing known: reject nothing
+    long = grams >= np.median(grams)
+    centre = float(np.median(mean[long]))
+    square = (mean - centre) ** 2
+    return (centre, float(np.median(square[long])) / 0.455 + 1e-4,
+            float(np.median(square * grams)) / 0.455 + 1e-4)
+
+
+def _threshold(own: np.ndarray, strange: np.ndarray) -> float:
+    """The distance below which the fewest rows are judged wrongly, a rejected known one
+    counting ``KNOWN_COST`` times; without strange rows, that of the least known one."""
+    if not own.size:
+        return -np.inf
+    if not strange.size:
+        return float(own.min())
+    own, strange = np.sort(own), np.sort(strange)
+    cuts = np.unique(np.concatenate([own, strange]))
+    cuts = np.concatenate([[cuts[0] - 1.0], (cuts[1:] + cuts[:-1]) / 2])
+    cost = (KNOWN_COST * np.searchsorted(own, cuts) / own.size
+            + 1 - np.searchsorted(strange, cuts) / strange.size)
+    return float(cuts[cost.argmin()])
 
 
 def predict(docs: DataFrame, model: LangModel | None, text: str = "text",
@@ -252,7 +335,7 @@ def predict(docs: DataFrame, model: LangModel | None, text: str = "text",
 
     Null texts and texts without a letter (or any text without a model) get ``und``, score
     0, rejected.  Others get a learned language, its calibrated probability, and are
-    rejected below the model's threshold.  Ties go to the first language in alphabetical
+    rejected if they are less familiar in that language than the model's threshold.  Ties go to the first language in alphabetical
     order.  One narrow pass; a column that clashes with a result column is replaced by it.
     """
     result = ["lang_pred", "score", "rejected"]
@@ -271,18 +354,17 @@ def predict(docs: DataFrame, model: LangModel | None, text: str = "text",
             known = [scorer is not None and t is not None and has_letter(t) for t in texts]
             lang = [UNKNOWN] * len(texts)
             score = np.zeros(len(texts))
+            low = np.ones(len(texts), dtype=bool)
             rows = [k for k, ok in enumerate(known) if ok]
             if rows:
-                p = scorer.probabilities([texts[k] for k in rows])
-                best = p.argmax(axis=1)
-                score[rows] = p[np.arange(len(rows)), best]
+                best, score[rows], distance = scorer.judge([texts[k] for k in rows])
+                low[rows] = distance < m.reject_below
                 for k, b in zip(rows, best.tolist()):
                     lang[k] = m.langs[b]
-            low = score < (m.reject_below if m is not None else 1.0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(c)) for c in names]
                 + [pa.array(lang, pa.string()), pa.array(score, pa.float64()),
-                   pa.array(low | ~np.array(known, dtype=bool), pa.bool_())],
+                   pa.array(low, pa.bool_())],
                 names=names + result)
 
     return frame.mapInArrow(run, fields + RESULT)
