@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from grove.llm import (bpe, common, decontam, fertility, html_density, langid, license_scan,
                        ngram_join, packed_ids, pu_quality, queries, url_trie)
@@ -161,6 +162,36 @@ def test_license_templates_survive_edits(spark):
     assert got[2].labels == "" and got[3].labels == "" and got[2].score == 0.0
 
 
+def brute_chain(words, template):
+    """Longest ascending chain of template pairs that a text holds."""
+    pairs = list(zip(template, template[1:]))
+    best = {}
+    for p in range(len(words) - 1):
+        new = {q: 1 + max([v for k, v in best.items() if k < q], default=0)
+               for q, pair in enumerate(pairs) if pair == tuple(words[p:p + 2])}
+        for q, v in new.items():
+            best[q] = max(best.get(q, 0), v)
+    return max(best.values(), default=0) / len(pairs)
+
+
+def test_license_spans_are_verified_in_order(spark):
+    mit = dict(license_scan.TEMPLATES)["mit"].split()
+    pairs = [mit[k:k + 2] for k in range(0, len(mit), 2)]
+    rows = [(1, " ".join(mit[:15] + "one two three four five".split() + mit[15:])),
+            (2, " ".join(w for pair in reversed(pairs) for w in pair)),
+            (3, "Released under the MIT License."), (4, "Licensed under CC BY 4.0."),
+            (5, "Licensed under CC BY-NC 4.0."), (6, "under the mit something license"),
+            (7, " ".join(mit + mit)),
+            (8, "Licensed under the Apache License, Version 2.0.")]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].labels == "mit" and got[2].labels == "" and got[2].spans is None
+    assert abs(got[1].score - brute_chain(rows[0][1].split(), mit)) < 1e-12
+    assert got[3].labels == "mit" and got[4].labels == "cc-by" and got[6].labels == ""
+    assert got[5].labels == "cc-by,cc-by-nc" and got[8].labels == "apache"
+    assert got[7].score == 1.0 and len(got[7].spans) == 2
+
+
 def test_license_scan_is_native():
     src = open(license_scan.__file__).read()
     assert not re.search(r"udf|pandas|InArrow|\.rdd|numpy", src)
@@ -278,6 +309,21 @@ def test_language_held_out(spark, edge):
     assert all(out[k].lang_pred == "und" and out[k].score == 0 for k in (1, 2, 3))
 
 
+def test_language_never_learned_is_rejected(spark):
+    """Whole documents of a language that the fit did not see go, those of the others stay,
+    also with texts in two of them, and with keys and numbers in a text."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars > 200")
+    model = langid.fit(df, (common.crc_bucket("doc_id", 5) != 0) & (F.col("lang") != "es"))
+    got = langid.predict(df, model).groupBy(F.col("lang") == "es").agg(
+        F.avg(F.col("rejected").cast("int"))).collect()
+    share = {r[0]: r[1] for r in got}
+    assert share[True] > 0.95 and share[False] < 0.01
+    by = {r.lang: r.text for r in df.where("n_chars < 900").orderBy("doc_id").collect()}
+    odd = spark.createDataFrame([(1, by["de"] + " " + by["fr"]), (2, by["en"] + " 9f3a41" * 300)],
+                                "doc_id long, text string")
+    assert langid.predict(odd, model).where("rejected").count() == 0
+
+
 def test_quality_held_out(spark, edge):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
