@@ -5,8 +5,10 @@ if its sizes lie close together, so a document takes part in its own band of siz
 the next ones that a partner may lie in.  Within a band the columns are cut into ``k``
 blocks of the n-gram hash range, more than a linked pair can differ in n-grams; such a
 pair has at least one column block in common as a whole.  Only row pairs that share a whole
-block are multiplied: their overlap is accumulated block of columns after block, and a pair
-is discarded as soon as overlap plus what is left cannot reach the bound of its sizes.
+block are entries of the product.  A block of such rows is multiplied one column range after
+the other: equal columns of an entry's two rows meet in one sort of the block, their counts are
+added to its overlap, and an entry is discarded as soon as overlap plus what is left cannot reach
+the bound of its sizes, so later ranges hold fewer rows.
 
 Only connectivity is wanted, so a block shared by many rows is first multiplied with two
 of its rows alone; rows that this already connects are not compared again.  What is left of
@@ -35,6 +37,8 @@ from grove.llm.common import (LOWER_TABLE, WordIndex, free_names, offsets, repea
 BAND_RATIO = 1.4
 #: Column ranges over which an overlap is accumulated between two checks of its bound.
 COLUMN_RANGES = 8
+#: N-grams of the rows that one block of the product holds (or those of one entry).
+PRODUCT_GRAMS = 1 << 20
 MAX_ROUNDS = 60
 #: Hash classes whose parities a set carries (a multiple of 64).
 PARITY_BITS = 512
@@ -106,22 +110,33 @@ def block_signatures(h: np.ndarray, percent: int, bands: np.ndarray) -> np.ndarr
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def overlap(a: np.ndarray, b: np.ndarray, percent: int) -> int:
-    """Common n-grams of two sets, or -1 once they cannot reach the bound."""
-    need = -(-percent * (a.size + b.size) // (100 + percent))
-    if min(a.size, b.size) < need:
-        return -1
-    cuts = np.arange(1, COLUMN_RANGES + 1, dtype=np.uint64) << np.uint64(61)
-    cuts[-1] = np.uint64(0xFFFFFFFFFFFFFFFF)
-    ends_a = [*np.searchsorted(a, cuts[:-1]), a.size]
-    ends_b = [*np.searchsorted(b, cuts[:-1]), b.size]
-    count = i = j = 0
-    for x, y in zip(ends_a, ends_b):
-        count += np.intersect1d(a[i:x], b[j:y], assume_unique=True).size
-        i, j = x, y
-        if count + min(a.size - i, b.size - j) < need:
-            return -1
-    return count
+def product(left: np.ndarray, left_size: np.ndarray, right: np.ndarray, right_size: np.ndarray,
+            percent: int) -> np.ndarray:
+    """Overlaps of row ``k`` of the left with row ``k`` of the right incidence block, each given
+    as columns of all rows one after the other and rows' sizes; -1 for entries below the bound.
+    """
+    entries = len(left_size)
+    need = -(-percent * (left_size + right_size) // (100 + percent))
+    alive = np.minimum(left_size, right_size) >= need
+    sides = []
+    for columns, size in ((left, left_size), (right, right_size)):
+        sides.append((np.repeat(np.arange(entries), size), columns, size.copy()))
+    count = np.zeros(entries, dtype=np.int64)
+    width = 64 - (COLUMN_RANGES - 1).bit_length()
+    for part in range(COLUMN_RANGES):
+        rows, columns = [], []
+        for row, column, rest in sides:
+            here = alive[row] & ((column >> np.uint64(width)) == part)
+            rows.append(row[here])
+            columns.append(column[here])
+            rest -= np.bincount(row[here], minlength=entries)
+        row, column = np.concatenate(rows), np.concatenate(columns)
+        order = np.lexsort((column, row))
+        row, column = row[order], column[order]
+        both = (row[1:] == row[:-1]) & (column[1:] == column[:-1])
+        count += np.bincount(row[1:][both], minlength=entries)
+        alive &= count + np.minimum(sides[0][2], sides[1][2]) >= need
+    return np.where(alive, count, -1)
 
 
 def parities(h: np.ndarray) -> np.ndarray:
@@ -203,14 +218,22 @@ def _multiply(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ga, gb = (batch.column(batch.schema.get_field_index(c)) for c in ("_ga", "_gb"))
-            ok = [overlap(np.asarray(x.values).view(np.uint64),
-                          np.asarray(y.values).view(np.uint64), percent) >= 0
-                  for x, y in zip(ga, gb)]
+            columns, sizes = [], []
+            for name in ("_ga", "_gb"):
+                rows = batch.column(batch.schema.get_field_index(name))
+                columns.append(rows.flatten().to_numpy().view(np.uint64))
+                sizes.append(rows.value_lengths().to_numpy().astype(np.int64))
+            at = [offsets(size) for size in sizes]
+            block = (at[0][1:] + at[1][1:]) // PRODUCT_GRAMS
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+            ok = [product(columns[0][at[0][i]:at[0][j]], sizes[0][i:j],
+                          columns[1][at[1][i]:at[1][j]], sizes[1][i:j], percent) >= 0
+                  for i, j in zip(cuts, cuts[1:])]
+            ok = pa.array(np.concatenate(ok), pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index(c)).filter(pa.array(ok, pa.bool_()))
+                [batch.column(batch.schema.get_field_index(c)).filter(ok)
                  for c in ("a", "b")], names=["a", "b"])
-        batch = ga = gb = None
+        batch = rows = columns = None
         return_memory()
 
     return joined.select("a", "b", "_ga", "_gb").mapInArrow(run, "a binary, b binary")

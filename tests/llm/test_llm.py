@@ -87,6 +87,21 @@ def test_ngram_join_near_copies(spark):
         assert got == brute_components(rows, n, percent)
 
 
+def test_ngram_product_of_a_block():
+    """Entries of a block, rows without columns among them, equal the overlaps of each pair."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 40, n).astype(np.uint64) << np.uint64(58 - n % 3))
+            for n in (0, 1, 5, 30, 60, 200, 200, 3)]
+    pairs = [(a, b) for a in rows for b in rows]
+    for percent in (73, 90, 100):
+        got = ngram_join.product(*(f(side) for side in zip(*pairs) for f in (
+            np.concatenate, lambda s: np.array([r.size for r in s]))), percent)
+        want = [np.intersect1d(a, b).size for a, b in pairs]
+        want = [w if 100 * w >= percent * (a.size + b.size - w) else -1
+                for w, (a, b) in zip(want, pairs)]
+        assert got.tolist() == want
+
+
 def test_ngram_signatures_meet():
     """Linked sets of any size share a signature."""
     rng = np.random.default_rng(5)
@@ -101,7 +116,8 @@ def test_ngram_signatures_meet():
                     0, 1 << 63, new, dtype=np.uint64)]))
                 same = np.intersect1d(a, b).size
                 linked = 100 * same >= percent * (a.size + b.size - same)
-                assert (ngram_join.overlap(a, b, percent) == same) == linked
+                got = ngram_join.product(a, np.array([a.size]), b, np.array([b.size]), percent)
+                assert got.tolist() == [same if linked else -1]
                 if linked:
                     assert np.intersect1d(ngram_join.block_signatures(a, percent, bands),
                                           ngram_join.block_signatures(b, percent, bands)).size
