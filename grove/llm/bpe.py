@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from grove.llm.common import RecentWords, free_names, kept_table, offsets, slices, tokenizer_file
+from grove.llm.common import (TABLE_SLICE_BYTES, RecentWords, free_names, kept_table, offsets,
+                              slices, tokenizer_file)
 
 VOCABULARY = "word_bpe_49k.json"
 TABLE = "bpe"
 LONG_WORD = 512
 #: Distinct chunks whose tokens a worker keeps, in each of two generations.
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 125_000
 #: Symbols that one run of merge rounds handles at once.
 FLAT_SYMBOLS = 2_000_000
 
@@ -271,7 +272,7 @@ def encode_documents(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = kept_table(TABLE, file, lambda: WordBpe(file))
-        for batch, texts in slices(batches, inner, table=TABLE):
+        for batch, texts in slices(batches, inner, TABLE_SLICE_BYTES, TABLE):
             coded = bpe.encode([t or b"" for t in texts])
             cols = [pa.array([len(c[0]) // 4 for c in coded], pa.int64())]
             if digests:

@@ -23,6 +23,8 @@ from grove.session import scratch_path
 
 #: Text bytes handled at once inside a task; one longer text makes a slice of its own.
 SLICE_BYTES = 4 << 20
+#: Those of operators that keep a word table, whose workers hold it beside the slice.
+TABLE_SLICE_BYTES = 1 << 20
 
 #: A-Z to a-z, every other ASCII byte outside 0-9a-z to a space, non-ASCII kept.
 ALNUM_TABLE = bytes(

@@ -21,15 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import (WordIndex, free_names, kept_table, offsets,
-                              ranges, slices, tokenizer_file)
+from grove.llm.common import (TABLE_SLICE_BYTES, WordIndex, free_names, kept_table,
+                              offsets, ranges, slices, tokenizer_file)
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Distinct words whose tokens a worker keeps before it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 TABLE = "fertility"
 
 
@@ -194,7 +194,7 @@ def measure_fertility(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = kept_table(TABLE, files, lambda: Vocabularies(*files))
-        for batch, texts in slices(batches, inner, table=TABLE):
+        for batch, texts in slices(batches, inner, TABLE_SLICE_BYTES, TABLE):
             texts = [t or b"" for t in texts]
             split = [t.split() for t in texts]
             bounds = offsets([len(w) for w in split])

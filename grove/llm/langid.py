@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import WordIndex, free_names, offsets, slices, split_alnum
+from grove.llm.common import (TABLE_SLICE_BYTES, WordIndex, free_names, offsets, slices,
+                              split_alnum)
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -45,7 +46,9 @@ KNOWN_COST = 1000
 PRIOR_COUNT = 0.1
 #: Subwords of one sampled row that count towards the frequencies.
 ROW_WEIGHT = 2000
-CACHE_WORDS = 300_000
+#: Words whose sums a worker keeps, and new words measured at once.
+CACHE_WORDS = 100_000
+FRESH_WORDS = 4096
 
 RESULT = "lang_pred string, score double, rejected boolean"
 _DIGIT = re.compile(rb"[0-9]")
@@ -121,6 +124,17 @@ class Scorer:
         self.sums = np.zeros((0, len(self.model.langs) + 1))
         self.grams = np.zeros(0, np.int64)
 
+    def _measure(self, fresh: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sums and n-gram counts of some words."""
+        langs = len(self.model.langs)
+        bucket, grams = subwords(fresh)
+        sums = np.add.reduceat(self.table[bucket], offsets(grams)[:-1], axis=0)
+        number = [k for k, w in enumerate(fresh) if _DIGIT.search(w)]
+        sums[number], grams[number] = 0.0, 0                # keys and numbers tell nothing
+        # the language that knows a word best: a text in two learned languages is known
+        known = (sums[:, langs:] - self.model.centre * grams[:, None]).max(axis=1)
+        return np.c_[sums[:, :langs], known], grams
+
     def judge(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language number, probability, familiarity in deviations) of each text."""
         if len(self.index) > CACHE_WORDS:
@@ -129,16 +143,10 @@ class Scorer:
         numbers = self.index.numbers([w for ws in split for w in ws])
         fresh, self.index.fresh = self.index.fresh, []
         if fresh:
-            bucket, grams = subwords(fresh)
-            at = offsets(grams)[:-1]
-            sums = np.add.reduceat(self.table[bucket], at, axis=0)
-            number = [k for k, w in enumerate(fresh) if _DIGIT.search(w)]
-            sums[number], grams[number] = 0.0, 0            # keys and numbers tell nothing
-            langs = len(self.model.langs)
-            # the language that knows a word best: a text in two learned languages is known
-            known = (sums[:, langs:] - self.model.centre * grams[:, None]).max(axis=1)
-            self.sums = np.concatenate([self.sums, np.c_[sums[:, :langs], known]])
-            self.grams = np.concatenate([self.grams, grams])
+            new = [self._measure(fresh[k:k + FRESH_WORDS])
+                   for k in range(0, len(fresh), FRESH_WORDS)]
+            self.sums = np.concatenate([self.sums, *[x for x, _ in new]])
+            self.grams = np.concatenate([self.grams, *[x for _, x in new]])
         bound = offsets([len(ws) for ws in split])
         row = np.repeat(np.arange(len(texts)), np.diff(bound))
         total = np.bincount(row, self.grams[numbers], len(texts))
@@ -350,7 +358,7 @@ def predict(docs: DataFrame, model: LangModel | None, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         scorer = None if m is None else Scorer(m)
-        for batch, texts in slices(batches, inner):
+        for batch, texts in slices(batches, inner, TABLE_SLICE_BYTES):
             known = [scorer is not None and t is not None and has_letter(t) for t in texts]
             lang = [UNKNOWN] * len(texts)
             score = np.zeros(len(texts))
