@@ -15,8 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROW_KEY = "row_key"
-#: Copies of one row that a task unfolds; the copies of a more frequent row go to several.
-COPIES_AT_ONCE = 1 << 16
+#: Copies of one row that are unfolded where the count is; a few counts can stand for the whole table.
+COPIES_IN_PLACE = 8
+#: Copies of a more frequent row that go to a task together.
+COPIES_AT_ONCE = 1 << 12
+#: Rows of a partition of the layout at most, on average.
+ROWS_A_PARTITION = 1 << 18
 
 
 def content_text(columns: Sequence[str]) -> Column:
@@ -36,8 +40,10 @@ def with_row_key(df: DataFrame, columns: Sequence[str] | None = None, name: str
 
     ``columns``: those that make the content (default: all); rows that agree in them are
     copies, of which the others must then be functions.  Every row is kept, copies and
-    nulls included.  One shuffle of distinct rows.  Columns must be groupable (no maps); a
-    negative zero counts, and comes back, as zero.
+    nulls included.  One shuffle of distinct rows; counts above ``COPIES_IN_PLACE`` are cut into
+    stretches and dealt to the session's number of shuffle partitions (given as a number, so that
+    adaptive execution does not join tasks by the size of the counts), then unfolded.  Columns must
+    be groupable (no maps); a negative zero counts, and comes back, as zero.
     """
     if name in df.columns:
         raise ValueError(f"column {name} exists")
@@ -48,13 +54,15 @@ def with_row_key(df: DataFrame, columns: Sequence[str] | None = None, name: str
                           for w in ("count", "chunk", "copy"))
     grouped = df.groupBy(*[F.col(f"`{c}`") for c in own]).agg(
         F.count(F.lit(1)).alias(count), *[F.first(f"`{c}`").alias(c) for c in rest])
-    few = grouped.where(F.col(count) <= copies_at_once).withColumn(
+    in_place = min(COPIES_IN_PLACE, copies_at_once)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = grouped.where(F.col(count) <= in_place).withColumn(
         copy, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1)))
     first = F.col(chunk) * copies_at_once
-    many = (grouped.where(F.col(count) > copies_at_once)
+    many = (grouped.where(F.col(count) > in_place)
             .withColumn(chunk, F.explode(F.sequence(F.lit(0).cast("long"),
                                                     F.floor((F.col(count) - 1) / copies_at_once))))
-            .repartition(*[F.col(f"`{c}`") for c in own], F.col(chunk))
+            .repartition(tasks, *[F.col(f"`{c}`") for c in own], F.col(chunk))
             .withColumn(copy, F.explode(F.sequence(
                 first, F.least(first + copies_at_once, F.col(count)) - 1)))
             .drop(chunk))
@@ -74,3 +82,11 @@ def canonical_layout(df: DataFrame, key: str, partitions: int) -> DataFrame:
     if partitions < 1:
         raise ValueError(f"partitions must be at least 1, got {partitions}")
     return df.repartition(partitions, F.col(key)).sortWithinPartitions(key)
+
+
+def layout_partitions(df: DataFrame, least: int) -> int:
+    """Partitions of the layout: ``least``, or as many more as keep ``ROWS_A_PARTITION`` rows in each.
+    A function of the number of rows alone, so the layout stays independent of files and cores."""
+    if least < 1:
+        raise ValueError(f"partitions must be at least 1, got {least}")
+    return max(least, -(-df.count() // ROWS_A_PARTITION))
