@@ -31,17 +31,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.util import inheritable_thread_target
 
+from grove.functions.hashing import is_test
 from grove.operators import metrics
 from grove.operators.dataset import Fixture
 from grove.operators.features import strongest, vector_chi_squared
-from grove.operators.identity import ROW_KEY, canonical_layout, with_row_key
+from grove.operators.identity import ROW_KEY, canonical_layout, layout_partitions, with_row_key
 from grove.operators.labels import (MAX_CLASSES, LabelDictionary, class_counts, class_weight,
                                     with_class_count)
-from grove.operators.split import holdout_split, with_folds
+from grove.operators.split import with_folds
 from grove.session import checkpoint_dir
 
 TASKS = ("regression", "binary", "multiclass")
-LABEL, FEATURES, PREDICTION, WEIGHT, FOLD = "label", "features", "prediction", "weight", "fold"
+LABEL, FEATURES, PREDICTION, WEIGHT, FOLD = "label", "features", "prediction", "weight", "_fold"
+#: The side of a row, kept with the cached rows.
+TEST_SIDE = "_test_side"
+#: Down to this depth it costs less to walk a tree again than to keep a node id per row and tree.
+SHALLOW = 12
 
 
 @dataclass(frozen=True)
@@ -59,7 +64,7 @@ class ForestOptions:
     seed: int = 17
     subsampling: float = 1.0
     bootstrap: bool = True            # False: every tree sees all rows
-    cache_node_ids: bool = True       # node ids kept on executors, checkpointed
+    cache_node_ids: bool | None = None  # node ids kept on executors, checkpointed; None: of deep trees
     checkpoint_interval: int = 10
     handle_invalid: str = "error"     # null or NaN feature, null label: error | skip
     n_classes: int | None = None      # numeric classes 0..n-1; default: counted over all rows
@@ -67,7 +72,7 @@ class ForestOptions:
     max_categories: int | None = None     # features of so many values or fewer are categorical
     unseen_category: str = "keep"     # category that training did not have: keep | skip | error
     top_features: int | None = None   # keep so many features by chi-squared test on the label
-    partitions: int | None = 16       # of the training rows; None: as they come (see layout)
+    partitions: int | None = 16       # of the training rows, at least; None: as they come (see layout)
 
     @classmethod
     def from_vector(cls, values: Sequence[str], **overrides) -> "ForestOptions":
@@ -262,7 +267,8 @@ def _forest(task: str, opts: ForestOptions, n_features: int, weight: str | None)
         numTrees=opts.tree_grid()[0], maxDepth=opts.depth, maxBins=opts.bin_grid()[0],
         minInstancesPerNode=opts.min_rows, featureSubsetStrategy=feature_subset(opts.subset, n_features),
         seed=opts.seed, subsamplingRate=opts.subsampling, maxMemoryInMB=opts.max_memory_mb,
-        cacheNodeIds=opts.cache_node_ids, checkpointInterval=opts.checkpoint_interval,
+        cacheNodeIds=(opts.depth > SHALLOW if opts.cache_node_ids is None else opts.cache_node_ids),
+        checkpointInterval=opts.checkpoint_interval,
         bootstrap=opts.bootstrap,
     )
     if task == "regression":
@@ -380,18 +386,30 @@ class _Rows:
 
 
 def _rows(fx: Fixture, opts: ForestOptions, train_ratio: float, external: Fixture | None,
-          tolerant: bool, persist: bool) -> _Rows:
-    """Prepared rows in canonical layout, their two sides, and the classes of all of them."""
+          tolerant: bool, persist: bool, folds: int | None = None) -> _Rows:
+    """Prepared rows in canonical layout, their two sides, and the classes of all of them.
+
+    Side and fold are read several times by every fit, so they are computed once, before the cache.
+    """
     opts = opts.validated()
     checkpoint_dir(fx.frame.sparkSession)  # cacheNodeIds checkpoints go to the shared folder
     data = prepare(fx, tolerant)
     label = LABEL if LABEL in data.columns else fx.target
     key = list(fx.key)
+    if opts.partitions is not None:
+        parts = layout_partitions(data, opts.partitions)
+    own_key = ROW_KEY in data.columns or not key
     if ROW_KEY not in data.columns and (opts.partitions is not None or not key):
         data = with_row_key(data)
         key = key or [ROW_KEY]
     if opts.partitions is not None:
-        data = canonical_layout(data, ROW_KEY, opts.partitions)
+        data = canonical_layout(data, ROW_KEY, parts)
+        if not own_key:
+            data = data.drop(ROW_KEY)       # made for the layout alone
+    if external is None:
+        data = data.withColumn(TEST_SIDE, is_test(key, train_ratio))
+    if folds is not None:
+        data = with_folds(data, key, folds, FOLD)
     cached = []
     if persist:
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
@@ -400,7 +418,9 @@ def _rows(fx: Fixture, opts: ForestOptions, train_ratio: float, external: Fixtur
     if persist:
         report.count()
     if external is None:
-        train_df, test_df = holdout_split(data, key, train_ratio)
+        train_df = data.where(~F.col(TEST_SIDE)).drop(TEST_SIDE)
+        test_df = data.where(TEST_SIDE).drop(TEST_SIDE, FOLD)
+        data = data.drop(TEST_SIDE)
         known = data
     else:
         # Train on every row of the first source, test on the second.
@@ -469,10 +489,10 @@ def tune(fx: Fixture, opts: ForestOptions, folds: int = 3, train_ratio: float =
     """
     if folds < 2:
         raise ValueError(f"folds must be >= 2, got {folds}")
-    rows = _rows(fx, opts, train_ratio, external, tolerant, persist)
+    rows = _rows(fx, opts, train_ratio, external, tolerant, persist, folds)
     spark = fx.frame.sparkSession
     evaluator = selection_evaluator(fx.task)
-    folded = with_folds(rows.train, rows.key, folds, FOLD)
+    folded = rows.train
     settings = rows.opts.settings()
 
     def judged(job: tuple[int, int]) -> tuple[float, int]:

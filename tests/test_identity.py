@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from conftest import SF001
 from grove.operators.forest import ForestOptions, forest_stage, train
 from grove.operators.from_file import file_rows, train_from_file
-from grove.operators.identity import ROW_KEY, canonical_layout, with_row_key
+from grove.operators import identity
+from grove.operators.identity import ROW_KEY, canonical_layout, layout_partitions, with_row_key
 from grove.operators.split import with_side
 from grove.plans import fixtures as fx
 from grove.sources.delimited import read_table, write_delimited
@@ -54,6 +55,26 @@ def test_copies_spread_over_partitions(spark):
         with_row_key(with_row_key(df))
 
 
+def test_few_counts_are_unfolded_by_several_tasks(spark):
+    df = spark.range(0, 200_000).select((F.col("id") % 50).alias("a"))
+    sizes = [r["count"] for r in with_row_key(df).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 200_000 and len(sizes) > 1 and max(sizes) < 100_000
+
+
+def test_layout_grows_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(identity, "ROWS_A_PARTITION", 100)
+    assert layout_partitions(spark.range(50), 4) == 4
+    assert layout_partitions(spark.range(1001), 4) == 11
+    assert layout_partitions(spark.range(0), 4) == 4
+    with pytest.raises(ValueError):
+        layout_partitions(spark.range(5), 0)
+    r = train(fx.net_price(spark, SF001), ForestOptions(trees=1, depth=2, partitions=4), refit=False)
+    assert r.cached[0].rdd.getNumPartitions() == 60
+    assert set(r.test.columns) == {"l_orderkey", "l_linenumber", "net_price", "l_extendedprice", "l_discount",
+                                   "l_quantity", "label", "_vector0", "features", "prediction"} - {"_vector0"}
+    r.release()
+
+
 def test_content_of_some_columns(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0], "x"), (1, [1.0, 2.0], "x"), (2, None, "y")],
                                "a int, b array<double>, c string")
