@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from dataclasses import replace
 
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -337,6 +338,12 @@ def _facts(spark, r: TrainResult, **facts) -> DataFrame:
         f"{k} {kinds[type(v)]}" for k, v in row.items()))
 
 
+def _measured_once(f: Fixture) -> Fixture:
+    """The rows of ``f`` kept, for queries that fit or score them again outside the run: the
+    features of a text are measured once.  Let go by ``f.frame.unpersist()``."""
+    return replace(f, frame=f.frame.persist(StorageLevel.MEMORY_AND_DISK))
+
+
 def _at_least(r: TrainResult, figure: str, floor: float) -> bool:
     value = r.metrics.first()[figure]
     return bool(value is not None and value >= floor)
@@ -572,7 +579,7 @@ def q_model_roundtrip(spark, d):
 
 def q_save_tuned(spark, d):
     """A tuned model and its pipeline, saved, loaded, retrained on rows with one class more."""
-    f = fx.doc_lang(spark, d, _tasks(spark))
+    f = _measured_once(fx.doc_lang(spark, d, _tasks(spark)))
     r = tune(f, ForestOptions(trees=[2, 4], depth=6, subset="all"), folds=2)
     model, pipeline = load_tuned(save_tuned(r, scratch_path(spark, "tuned")))
     known = model.transform(f.frame).where("predicted_lang = 'none'").count()
@@ -581,7 +588,9 @@ def q_save_tuned(spark, d):
     again = pipeline.fit(more).transform(more.where("lang = 'none'"))
     counts = again.agg(F.count(F.lit(1)).alias("n"),
                        F.count_if(F.col("predicted_lang") == "none").alias("hit")).first()
-    return _facts(spark, r, n_before=known, n_new=counts.n, n_new_hit=counts.hit).drop("trees")
+    out = _facts(spark, r, n_before=known, n_new=counts.n, n_new_hit=counts.hit).drop("trees")
+    f.frame.unpersist()
+    return out
 
 
 def q_stream_score(spark, d):
@@ -617,12 +626,14 @@ def q_wide_tune_regression(spark, d):
 
 def q_pipeline_roundtrip(spark, d):
     """The unfitted pipeline saved beside the model, loaded, refit."""
-    f = fx.doc_lang(spark, d, _tasks(spark))
+    f = _measured_once(fx.doc_lang(spark, d, _tasks(spark)))
     train_df, test_df = holdout_split(f.frame, f.key, TRAIN_RATIO)
     r = train(f, SMALL, refit=False)
     loaded = load_pipeline(save_pipeline(r.pipeline, scratch_path(spark, "pipeline_doc_lang")))
     figures = evaluate(loaded.fit(train_df).transform(test_df), f.task).first()
-    return _facts(spark, r, n_judged=figures.n, good=bool(figures.accuracy >= 0.9))
+    out = _facts(spark, r, n_judged=figures.n, good=bool(figures.accuracy >= 0.9))
+    f.frame.unpersist()
+    return out
 
 
 def q_train_from_vector(spark, d):

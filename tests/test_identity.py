@@ -1,5 +1,6 @@
 """Row identity and canonical layout: nothing lost, nothing that depends on files or partitions."""
 
+import inspect
 import json
 import subprocess
 import sys
@@ -14,6 +15,7 @@ from grove.operators import identity
 from grove.operators.identity import ROW_KEY, canonical_layout, layout_partitions, with_row_key
 from grove.operators.split import with_side
 from grove.plans import fixtures as fx
+from grove.plans.queries import QUERIES, _measured_once
 from grove.sources.delimited import read_table, write_delimited
 
 ROWS = [(1, "a", 0.5), (1, "a", 0.5), (1, "a", 0.5), (1, None, 0.5), (None, None, None), (None, None, None),
@@ -83,6 +85,16 @@ def test_content_of_some_columns(spark):
     assert [r.b for r in got if r.a == 1] == [[1.0, 2.0]] * 2
 
 
+def test_rows_fitted_twice_are_kept_once(spark):
+    f = _measured_once(fx.doc_lang(spark, SF001, 4))
+    assert f.frame.is_cached and f.frame.storageLevel.useDisk and f.features == fx.doc_lang(spark, SF001).features
+    f.frame.unpersist()
+    spark.catalog.clearCache()
+    for name in ("pipeline_roundtrip", "save_tuned"):
+        source = inspect.getsource(QUERIES[name])
+        assert "_measured_once(" in source and "f.frame.unpersist()" in source
+
+
 # ---------------------------------------------------------------- files without a key
 
 @pytest.fixture(scope="module")
@@ -166,6 +178,7 @@ sys.path.insert(0, {root!r})
 from grove.session import local_session
 from grove.operators.forest import ForestOptions, forest_stage, train
 from grove.plans import fixtures as fx
+from grove.plans.queries import QUERIES, _measured_once
 spark = local_session(cores={cores}, shuffle_partitions={cores})
 spark.sparkContext.setLogLevel("OFF")
 r = train(fx.net_price(spark, {sf!r}), ForestOptions(trees=3, depth=5), refit=False)
