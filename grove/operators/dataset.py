@@ -17,7 +17,7 @@ class Fixture:
     task: str                      # regression | binary | multiclass
     positive: object | None = None
     vector: str | None = None      # name of a ready array/vector feature column, if any
-    extra: dict = field(default_factory=dict)
+    extra: dict = field(default_factory=dict)  # as_many: a frame of as many rows, cheaper to count
 
 
 def feature_columns(df: DataFrame, target: str, ignore: Sequence[str] = ()) -> list[str]:

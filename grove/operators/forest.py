@@ -397,7 +397,7 @@ def _rows(fx: Fixture, opts: ForestOptions, train_ratio: float, external: Fixtur
     label = LABEL if LABEL in data.columns else fx.target
     key = list(fx.key)
     if opts.partitions is not None:
-        parts = layout_partitions(data, opts.partitions)
+        parts = layout_partitions(fx.extra.get("as_many", data), opts.partitions)
     own_key = ROW_KEY in data.columns or not key
     if ROW_KEY not in data.columns and (opts.partitions is not None or not key):
         data = with_row_key(data)

@@ -43,7 +43,7 @@ def file_rows(spark: SparkSession, path: str | Sequence[str], target: str | None
         key = [ROW_KEY]
     numbers = features + ([] if text_class or positive is not None else [target])
     return Fixture(as_doubles(rows, numbers, tolerant), target, features, list(key), task,
-                   positive=positive)
+                   positive=positive, extra={"as_many": raw})
 
 
 def external_rows(fx: Fixture, spark: SparkSession, path: str | Sequence[str], sep: str = ";",
