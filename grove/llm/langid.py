@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import (TABLE_SLICE_BYTES, WordIndex, free_names, offsets, slices,
-                              split_alnum)
+from grove.llm.common import (TABLE_SLICE_BYTES, WordIndex, free_names, offsets, return_memory,
+                              slices, split_alnum)
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -272,6 +272,8 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
                      for k in check])
     grams = np.array([data[k][1].sum() for k in check], dtype=np.float64)
     _calibrate(model, mean[:, :len(langs)], mean[:, len(langs):], grams, y[check])
+    got = data = None
+    return_memory()                     # the driver goes on with the model alone
     return model
 
 

@@ -446,3 +446,37 @@ def test_pipeline_equals_operators(spark):
     ok = {k for k in ok if comp[k][1] == k}
     bad = {r.doc_id for r in queries.op9_decontaminate(spark, SF).where("contaminated").collect()}
     assert got == ok - bad
+
+
+def test_components_end_as_soon_as_the_edges_are_stars(spark, monkeypatch):
+    written = []
+
+    def shared_table(df, name):
+        written.append(name)
+        return common.shared_table(df, name)
+
+    monkeypatch.setattr(ngram_join, "shared_table", shared_table)
+
+    def roots(pairs):
+        written.clear()
+        links = spark.createDataFrame(pairs, "a long, b long")
+        return {r.node: r.root for r in ngram_join.components(links).collect()}
+
+    assert roots([(1, k) for k in range(2, 9)] + [(20, 21)]) == {
+        **{k: 1 for k in range(1, 9)}, 20: 20, 21: 20}
+    assert len(written) == 1
+    # a chain in mixed order, a pair twice and a link to itself
+    chain = [7, 3, 9, 1, 8, 2, 6, 4, 5]
+    assert roots([*zip(chain, chain[1:]), (11, 12), (12, 11), (13, 13)]) == {
+        **{k: 1 for k in chain}, 11: 11, 12: 11}
+    assert roots([]) == {}
+
+
+def test_language_fit_gives_the_memory_of_its_sample_back(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(langid, "return_memory", lambda: given.append(1))
+    docs = spark.createDataFrame([(k, "the cat and the dog" if k % 2 else "der hund und die katze",
+                                   "en" if k % 2 else "de") for k in range(40)],
+                                 "doc_id long, text string, lang string")
+    assert langid.fit(docs, F.lit(True), epochs=1).langs == ["de", "en"]
+    assert given == [1]
