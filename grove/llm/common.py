@@ -66,17 +66,17 @@ def return_memory() -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES,
-           table: str | None = None) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+           table: str | None = None, idle: int = IDLE_WORDS) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Cut Arrow batches into runs of rows of about ``limit`` text bytes, each with
     its texts as bytes (None for null), so a task's working set does not follow
     the batch size.  The word table that another operator than ``table`` left in this reused
-    worker is freed first; that of ``table`` is cut back at the end."""
+    worker is freed first; that of ``table`` is cut back to ``idle`` words at the end."""
     if _TABLE and _TABLE[0] != table:
         _TABLE.clear()
         return_memory()
     yield from _slices(batches, text, limit)
     if _TABLE:
-        _TABLE[2].shrink(IDLE_WORDS)
+        _TABLE[2].shrink(idle)
     return_memory()
 
 

@@ -23,6 +23,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from grove.llm.common import (WordIndex, kept_table, offsets, ranges, slices,
-                              tokenizer_file)
+from grove.llm.bpe import byte_letters
+from grove.llm.common import kept_table, offsets, ranges, slices, tokenizer_file
 from grove.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -120,17 +121,45 @@ def _odd(t: bytes) -> bool:
                                     or _ODD_WIDE.search(t) is not None))
 
 
-def _cut(t: bytes) -> list[bytes]:
-    """Words with the space before them, and line ends, of a text that is not odd."""
-    return t.replace(b" ", b"\0 ").replace(b"\n", b"\0\n\0").split(b"\0") if t else []
+#: 1: ASCII letters and digits, 2: marks that never share a token with one before them.
+_CLASS = np.zeros(256, dtype=np.uint8)
+_CLASS[[b for b in range(128) if chr(b).isalnum()]] = 1
+_CLASS[list(b"!\"),.:;?]}")] = 2
+
+
+def _cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words of texts that are not odd: the number of words before each text (and in all), each
+    word's place in the list of distinct words, and that list.
+
+    Words with the space before them, line ends, and what follows from a mark on.  They lie side by
+    side in the joined texts, so that their starts are all that is needed to tell them apart.
+    """
+    raw = b"".join(texts)
+    if not raw:
+        return np.zeros(len(texts) + 1, dtype=np.int64), np.zeros(0, dtype=np.int64), []
+    flat = np.frombuffer(raw, dtype=np.uint8)
+    kind = _CLASS[flat]
+    start = (flat == 0x20) | (flat == 0x0A)
+    start[1:] |= (flat[:-1] == 0x0A) | ((kind[1:] == 2) & (kind[:-1] == 1))
+    begin = offsets([len(t) for t in texts])
+    start[begin[:-1][begin[:-1] < begin[1:]]] = True
+    at = np.append(np.flatnonzero(start), flat.size)
+    words = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), at.size - 1, [None, pa.py_buffer(at), pa.py_buffer(raw)])
+    coded = words.dictionary_encode()
+    _, cuts, distinct = coded.dictionary.buffers()
+    cuts = np.frombuffer(cuts, dtype=np.int64, count=len(coded.dictionary) + 1).tolist()
+    distinct = distinct.to_pybytes()
+    return (np.searchsorted(at, begin), coded.indices.to_numpy(),
+            [distinct[a:b] for a, b in zip(cuts, cuts[1:])])
 
 
 class Encoder:
     """A byte-level BPE vocabulary of the tokenizers library, applied to distinct words.
 
-    The vocabulary's pattern always cuts before a single space or around a single line
-    end between other characters; a text with any other white space, or with a special
-    token, is encoded whole.  The ids of the distinct words lie in one flat array, from
+    The vocabulary's pattern always cuts before a single space, around a single line
+    end between other characters, and between an ASCII letter or digit and a mark; a text
+    with any other white space, or with a special token, is encoded whole.  The ids of the distinct words lie in one flat array, from
     which a slice of texts is put together at once.
     """
 
@@ -142,10 +171,12 @@ class Encoder:
         self.bytes = np.zeros(self.size, dtype=np.int64)
         for token, number in self.library.get_vocab(with_added_tokens=False).items():
             self.bytes[number] = len(token)
+        self.letters = dict(enumerate(byte_letters()))
+        self.space = self.letters[0x20]
         self.reset()
 
     def reset(self) -> None:
-        self.words = WordIndex()
+        self.words: dict[bytes, int] = {}
         self.ids = np.zeros(0, dtype="<u4")
         self.at = np.zeros(1, dtype=np.int64)
         self.uses = np.zeros(0, dtype=np.int64)
@@ -162,9 +193,7 @@ class Encoder:
         count = (self.at[1:] - self.at[:-1])[keep]
         self.ids = self.ids[ranges(self.at[keep], count)]
         self.at = offsets(count)
-        self.words = WordIndex()
-        self.words.numbers([names[i] for i in keep.tolist()])
-        self.words.fresh = []
+        self.words = {names[i]: k for k, i in enumerate(keep.tolist())}
         self.uses = np.zeros(keep.size, dtype=np.int64)
         self.held = int(size[keep].sum())
 
@@ -177,42 +206,70 @@ class Encoder:
                                               add_special_tokens=False)
         return [e.ids for e in done]
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Ids of new words.  Many make one text, a word without a space of its own after a
-        line end, and the bytes of the text's tokens tell the words apart again."""
+    def _letters(self, word: bytes) -> str | None:
+        """A word that is one piece of the pattern in the vocabulary's letters for bytes; None
+        if it is not known to be one.  Characters up to Latin Extended-B alone are judged
+        here, as character classes differ between Unicode versions."""
+        body = word[1:] if word[:1] == b" " else word
+        if body.isalpha() or body.isdigit():
+            return word.decode().replace(" ", self.space)
+        if word.isascii():
+            return None
+        body = body.decode()
+        if not body.isalpha() or max(body) >= "\u0250":
+            return None
+        return word.decode("latin-1").translate(self.letters)
+
+    def _joined(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of words.  Many make one text, a word without a space of its own after a line
+        end, and the bytes of the text's tokens tell the words apart again."""
+        out = []
         for k in range(0, len(words), 20_000):
             part = words[k:k + 20_000]
-            lead = [0 if w[:1] in (b" ", b"\n") else 1 for w in part]
             if b"\n" in part:       # the line end itself cannot stand beside another one
-                got = [np.array(x, dtype="<u4") for x in self._whole(part)]
-                ids, ends = np.concatenate(got), offsets([x.size for x in got])
-            else:
-                text = b"".join([b"\n" + w if x else w for w, x in zip(part, lead)])
-                all_ids = np.array(self._whole([text])[0], dtype="<u4")
-                after = np.cumsum(self.bytes[all_ids])
-                size = np.fromiter(map(len, part), dtype=np.int64, count=len(part)) + lead
-                stop = np.searchsorted(after, np.cumsum(size)) + 1
-                start = np.append(0, stop[:-1]) + lead
-                ids, ends = all_ids[ranges(start, stop - start)], offsets(stop - start)
-            self.ids = np.concatenate([self.ids, ids])
-            self.at = np.concatenate([self.at, self.at[-1] + ends[1:]])
+                out += self._whole(part)
+                continue
+            lead = [0 if w[:1] == b" " else 1 for w in part]
+            text = b"".join([b"\n" + w if x else w for w, x in zip(part, lead)])
+            ids = self._whole([text])[0]
+            after = np.cumsum(self.bytes[ids])
+            size = np.fromiter(map(len, part), dtype=np.int64, count=len(part)) + lead
+            stop = (np.searchsorted(after, np.cumsum(size)) + 1).tolist()
+            out += [ids[a + x:b] for a, b, x in zip([0, *stop], stop, lead)]
+        return out
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of new words: a single piece goes to the library's merges at once."""
+        letters = [self._letters(w) for w in words]
+        rest = iter(self._joined([w for w, x in zip(words, letters) if x is None]))
+        merged = self.library.model.tokenize
+        ids = [next(rest) if x is None else [t.id for t in merged(x)] for x in letters]
+        ends = self.at[-1] + offsets(list(map(len, ids)))
+        flat = np.fromiter(chain.from_iterable(ids), dtype="<u4", count=int(ends[-1] - ends[0]))
+        self.ids = np.concatenate([self.ids, flat])
+        self.at = np.concatenate([self.at, ends[1:]])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers."""
         if len(self.words) > CACHE_WORDS or self.held > CACHE_BYTES:
             self.shrink(CACHE_WORDS // 2)
         odd = [_odd(t) for t in texts]
-        split = [[] if o else _cut(t) for t, o in zip(texts, odd)]
-        numbers = self.words.numbers([w for ws in split for w in ws])
-        fresh, self.words.fresh = self.words.fresh, []
+        bound, place, distinct = _cut([b"" if o else t for t, o in zip(texts, odd)])
+        number = np.fromiter(map(self.words.get, distinct, repeat(-1)), dtype=np.int64,
+                             count=len(distinct))
+        new = np.flatnonzero(number < 0)
+        number[new] = len(self.words) + np.arange(new.size)
+        fresh = [distinct[i] for i in new.tolist()]
+        self.words.update(zip(fresh, number[new].tolist()))
         self._learn(fresh)
         self.held += sum(map(len, fresh))
+        numbers = number[place]
         uses = np.bincount(numbers, minlength=len(self.words))
         uses[:self.uses.size] += self.uses
         self.uses = uses
         size = (self.at[1:] - self.at[:-1])[numbers]
         flat = self.ids[ranges(self.at[numbers], size)]
-        bound = offsets(size)[offsets([len(ws) for ws in split])].tolist()
+        bound = offsets(size)[bound].tolist()
         rest = iter(self._whole([t for t, o in zip(texts, odd) if o]))
         return [np.array(next(rest), dtype="<u4") if o else flat[a:b]
                 for a, b, o in zip(bound[:-1], bound[1:], odd)]
@@ -340,7 +397,7 @@ def write_ids(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_
                 {"path": [f"{folder.rstrip('/')}/{out.path.rsplit('/', 1)[1]}"],
                  "ids": [ids], "docs": [len(out.docs)]})
 
-        for batch, texts in slices(batches, "_text", table=TABLE):
+        for batch, texts in slices(batches, "_text", table=TABLE, idle=CACHE_WORDS // 2):
             part = batch.column(batch.schema.get_field_index("_part"))[0].as_py()
             keys = batch.column(batch.schema.get_field_index("_key")).to_pylist()
             for k, ids in zip(keys, coder.encode([t or b"" for t in texts])):

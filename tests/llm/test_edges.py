@@ -1,6 +1,9 @@
 """Clashing column names, empty tables, repeated rows, null keys and long texts, of every operator
 that keeps its input's columns, and of the id files."""
 
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +74,32 @@ def test_id_table_forgets_rare_words(monkeypatch):
         assert len(coder.words) < 80
 
 
+def test_marks_are_words_of_their_own():
+    coder = packed_ids.Encoder(common.tokenizer_file(packed_ids.VOCABULARY))
+    coder.encode([b"word, word. word) word\nword"])
+    assert set(coder.words) == {b"word", b" word", b",", b".", b")", b"\n"}
+    parts = ["a", "B", "9", "\u00e9", "\u00df", " ", "\n", ",", ".", "'", "'s", "t", "!", "-", "\u6f22", "<",
+             ">", ")", "?", "\u0301", "\u0663", "\u00b2", "_", '"', "\u2019", "\u01c5", "\u00aa"]
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))).encode() for _ in range(5000)]
+    want = [e.ids for e in coder.library.encode_batch([t.decode() for t in texts],
+                                                      add_special_tokens=False)]
+    assert [x.tolist() for x in coder.encode(texts)] == want
+
+
+def test_id_table_is_kept_from_task_to_task():
+    file = common.tokenizer_file(packed_ids.VOCABULARY)
+    common._TABLE.clear()
+    coder = common.kept_table(packed_ids.TABLE, file, lambda: packed_ids.Encoder(file))
+    words = [f"{k:x}q" for k in range(60_000)]
+    batch = pa.RecordBatch.from_pydict({"_text": [" ".join(words + words)]})
+    for _, texts in common.slices(iter([batch]), "_text", table=packed_ids.TABLE,
+                                  idle=packed_ids.CACHE_WORDS // 2):
+        coder.encode(texts)
+    assert len(coder.words) > 59_000
+    common._TABLE.clear()
+
+
 class Table:
     def __init__(self):
         self.cut = []
