@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from grove.llm.common import (TABLE_SLICE_BYTES, RecentWords, free_names, kept_table, offsets,
-                              slices, tokenizer_file)
+from grove.llm.common import (TABLE_SLICE_BYTES, RecentWords, kept_table, offsets, slices,
+                              tokenizer_file, with_text)
 
 VOCABULARY = "word_bpe_49k.json"
 TABLE = "bpe"
@@ -71,7 +71,8 @@ class WordBpe:
         self.none = np.int64(len(key))
         self._split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") \
             if self.special else None
-        self._rules = Tokenizer.from_file(file)
+        rules = Tokenizer.from_file(file)       # its own table of merges is not kept
+        self._normalizer, self._pre_tokenizer = rules.normalizer, rules.pre_tokenizer
         self._byte = {c: b for b, c in enumerate(letters)}
         self.chunks = RecentWords(CACHE_CHUNKS)
 
@@ -198,10 +199,10 @@ class WordBpe:
         if max(part) < "\u0250":
             part = unicodedata.normalize("NFC", part).lower()
             return [w.encode() for w in WORD.findall(part)]
-        text = self._rules.normalizer.normalize_str(part)
+        text = self._normalizer.normalize_str(part)
         byte = self._byte
         return [bytes([byte[c] for c in w])
-                for w, _ in self._rules.pre_tokenizer.pre_tokenize_str(text)]
+                for w, _ in self._pre_tokenizer.pre_tokenize_str(text)]
 
     def _pieces(self, chunk: str) -> list[bytes | int]:
         """Words of a chunk without ASCII white space; special tokens as their ids."""
@@ -265,8 +266,7 @@ def encode_documents(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
     result = ["n_tokens"] + (["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else RESULT
     names = [c for c in (keep if keep is not None else docs.columns) if c not in result]
-    (inner,) = free_names(names, "_text")
-    frame = docs.select(*[F.col(c) for c in names], F.col(text).cast("string").alias(inner))
+    frame, inner = with_text(docs, names, text)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, "
                      for f in frame.select(*names).schema.fields)
 

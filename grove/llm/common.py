@@ -18,13 +18,14 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (binary_length)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grove.session import scratch_path
 
 #: Text bytes handled at once inside a task; one longer text makes a slice of its own.
 SLICE_BYTES = 4 << 20
 #: Those of operators that keep a word table, whose workers hold it beside the slice.
-TABLE_SLICE_BYTES = 1 << 20
+TABLE_SLICE_BYTES = 1 << 19
 
 #: A-Z to a-z, every other ASCII byte outside 0-9a-z to a space, non-ASCII kept.
 ALNUM_TABLE = bytes(
@@ -53,6 +54,7 @@ def kept_table(operator: str, parameters, make):
     if _TABLE[:2] != [operator, parameters]:
         _TABLE.clear()
         _TABLE[:] = [operator, parameters, make()]
+        return_memory()                 # what reading the vocabularies took
     return _TABLE[2]
 
 
@@ -266,6 +268,16 @@ def free_names(columns, *wanted: str) -> list[str]:
     return out
 
 
+def with_text(docs: DataFrame, names: list[str], text: str) -> tuple[DataFrame, str]:
+    """``docs`` cut to the named columns and its text, and the name of the text's column there.
+    A text among the named columns is not sent to Python a second time."""
+    cols = [F.col(c) for c in names]
+    if text in names and docs.schema[text].dataType == T.StringType():
+        return docs.select(*cols), text
+    (inner,) = free_names(names, "_text")
+    return docs.select(*cols, F.col(text).cast("string").alias(inner)), inner
+
+
 def tokenizer_file(name: str) -> str:
     """Place of a public vocabulary file on this machine (installed on every node);
     GROVE_TOKENIZERS names another folder."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import free_names, ranges, slices, split_alnum
+from grove.llm.common import ranges, slices, split_alnum, with_text
 
 WINDOW = 10
 #: Shift table entries per pattern length; a collision only makes a shift smaller.
@@ -183,9 +183,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     """
     result = ["n_words", "n_hit", "n_items", "items", "contaminated"]
     names = [c for c in (keep if keep is not None else docs.columns) if c not in result]
-    (inner,) = free_names(names, "_text")
-    cols = [*names, inner]
-    frame = docs.select(*[F.col(c) for c in names], F.col(text).cast("string").alias(inner))
+    frame, inner = with_text(docs, names, text)
     blocks = _blocks(benchmark, item, item_text, block_words) or [[]]
     sc = docs.sparkSession.sparkContext
     pending = [sc.broadcast(b) for b in blocks]
@@ -217,7 +215,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
                    pa.array(listed, pa.list_(pa.string()))],
                 names=names + ["n_words", "n_hit", "n_items", "items"])
 
-    found = frame.select(*cols).mapInArrow(run, f"{fields}{', ' if fields else ''}{RESULT}")
+    found = frame.mapInArrow(run, f"{fields}{', ' if fields else ''}{RESULT}")
     return found.withColumn("contaminated", F.col("n_hit") > 0)
 
 

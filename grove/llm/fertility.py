@@ -12,6 +12,7 @@ more than one word, so a text's measures are sums over its words.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import (TABLE_SLICE_BYTES, WordIndex, free_names, kept_table,
-                              offsets, ranges, slices, tokenizer_file)
+from grove.llm.common import (TABLE_SLICE_BYTES, WordIndex, kept_table, offsets,
+                              ranges, slices, tokenizer_file, with_text)
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -30,6 +31,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Distinct words whose tokens a worker keeps before it starts anew.
 CACHE_WORDS = 300_000
+#: New words that the vocabularies encode at once.
+FRESH_WORDS = 4096
 TABLE = "fertility"
 
 
@@ -84,6 +87,8 @@ class Vocabularies:
     def __init__(self, bpe_file: str, piece_file: str):
         import sentencepiece
         from tokenizers import Tokenizer
+        # a task has one core; the library's threads would each keep an arena of their own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.bpe = Tokenizer.from_file(bpe_file)
         self.bpe.encode_special_tokens = True
         self.piece = sentencepiece.SentencePieceProcessor(model_file=piece_file)
@@ -111,8 +116,8 @@ class Vocabularies:
             self.reset()
         out = self.index.numbers(words)
         fresh, self.index.fresh = self.index.fresh, []
-        if fresh:
-            text = [w.decode() for w in fresh]
+        for k in range(0, len(fresh), FRESH_WORDS):
+            text = [w.decode() for w in fresh[k:k + FRESH_WORDS]]
             n = [len(e) for e in self.bpe.encode_batch_fast(text, add_special_tokens=False)]
             pieces = self.piece.encode(text, num_threads=1)
             flat = np.fromiter((i for p in pieces for i in p), dtype=np.int32)
@@ -187,8 +192,7 @@ def measure_fertility(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
              piece_file or tokenizer_file("piece_bpe_32k.model"))
     result = [x.split()[0] for x in RESULT.split(", ")]
     names = [c for c in (keep if keep is not None else docs.columns) if c not in result]
-    (inner,) = free_names(names, "_text")
-    frame = docs.select(*[F.col(c) for c in names], F.col(text).cast("string").alias(inner))
+    frame, inner = with_text(docs, names, text)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, "
                      for f in frame.select(*names).schema.fields)
 

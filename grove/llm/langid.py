@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import (TABLE_SLICE_BYTES, WordIndex, free_names, offsets, return_memory,
-                              slices, split_alnum)
+from grove.llm.common import (TABLE_SLICE_BYTES, WordIndex, offsets, return_memory, slices,
+                              split_alnum, with_text)
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -350,8 +350,7 @@ def predict(docs: DataFrame, model: LangModel | None, text: str = "text",
     """
     result = ["lang_pred", "score", "rejected"]
     names = [c for c in (keep if keep is not None else docs.columns) if c not in result]
-    (inner,) = free_names(names, "_text")
-    frame = docs.select(*[F.col(c) for c in names], F.col(text).cast("string").alias(inner))
+    frame, inner = with_text(docs, names, text)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, "
                      for f in frame.select(*names).schema.fields)
     # languages x buckets numbers: bounded by MAX_LANGS and BUCKETS

@@ -108,6 +108,42 @@ class Table:
         self.cut.append(words)
 
 
+def test_kept_text_goes_to_python_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id int, text string")
+    sent, real = [], type(docs).mapInArrow
+
+    def spy(self, *args, **more):
+        sent.append(self.columns)
+        return real(self, *args, **more)
+
+    items = spark.createDataFrame([(7, "two three")], "item_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", spy)
+    fertility.quality_rules(docs)
+    langid.predict(docs, None)
+    decontam.find_contamination(docs, items)
+    bpe.encode_documents(docs)
+    assert sent == [["doc_id", "text"]] * 4
+    fertility.quality_rules(docs, keep=("doc_id",))
+    fertility.quality_rules(docs.withColumn("text", F.lit(5)))
+    assert sent[4:] == [["doc_id", "_text"], ["doc_id", "text", "_text"]]
+
+
+def test_new_words_are_encoded_in_runs(monkeypatch):
+    v = fertility.Vocabularies(common.tokenizer_file("byte_bpe_50k.json"),
+                               common.tokenizer_file("piece_bpe_32k.model"))
+    words = [f"w{k}ord".encode() for k in range(1000)]
+    v.numbers(words)
+    whole = v.bpe_n.tolist(), v.ids.tolist(), v.at.tolist()
+    most, real = [], v.piece.encode
+    monkeypatch.setattr(fertility, "FRESH_WORDS", 64)
+    monkeypatch.setattr(v.piece, "encode", lambda text, **more: (most.append(len(text)),
+                                                                 real(text, **more))[1])
+    v.reset()
+    v.numbers(words)
+    assert (v.bpe_n.tolist(), v.ids.tolist(), v.at.tolist()) == whole
+    assert max(most) == 64
+
+
 def test_tables_are_cut_back_and_those_of_another_operator_freed():
     common._TABLE.clear()
     table = common.kept_table("a", 1, Table)
