@@ -1,7 +1,8 @@
 """Random forests: fixed size, grid-tuned, refit on all rows.
 
 Tree induction is MLlib's: level-wise histogram aggregation across the cluster,
-one pass over the cached training points per group of nodes.  This module
+one pass over the cached training points per group of nodes; deep regression
+forests are grown by ``deep_forest`` into MLlib's model.  This module
 wires the pieces: label preparation, row identity and layout, keyed split, one
 estimator for everything that is learned, the fold loop and the metric aggregates.
 """
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.util import inheritable_thread_target
 
 from grove.functions.hashing import is_test
-from grove.operators import metrics
+from grove.operators import deep_forest, metrics
 from grove.operators.dataset import Fixture
 from grove.operators.features import strongest, vector_chi_squared
 from grove.operators.identity import ROW_KEY, canonical_layout, layout_partitions, with_row_key
@@ -228,8 +229,11 @@ class ForestLearner(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         indexed = stages[0].transform(df) if stages else df
         stages += _feature_stages(fx, opts, indexed)
         width = opts.top_features or _n_features(fx, df)
-        stages.append(_forest(fx.task, opts, width, weight))
-        return Pipeline(stages=stages + decoder).fit(df)
+        forest = _forest(fx.task, opts, width, weight)
+        if fx.task == "regression" and opts.depth > SHALLOW and not opts.max_categories and deep_forest.fits(forest):
+            ready = Pipeline(stages=stages).fit(df)
+            return PipelineModel([*ready.stages, deep_forest.fit_deep(ready.transform(df), forest)])
+        return Pipeline(stages=[*stages, forest, *decoder]).fit(df)
 
 
 def _classes(df: DataFrame, opts: ForestOptions) -> int:
