@@ -541,7 +541,7 @@ def flat_stages(model) -> list:
 
 def forest_stage(model: PipelineModel):
     for stage in reversed(flat_stages(model)):
-        if hasattr(stage, "trees"):
+        if hasattr(type(stage), "trees"):  # of the class: a stored forest would be loaded for its own
             return stage
     raise ValueError("pipeline has no forest stage")
 

@@ -91,3 +91,84 @@ def test_subset_size():
     size = deep_forest.subset_size
     assert [size(s, 512, 50) for s in ("auto", "all", "sqrt", "log2", "onethird", "7", "0.5")] == [171, 512, 23, 9, 171, 7, 256]
     assert size("auto", 512, 1) == 512
+
+
+@pytest.mark.parametrize("whole_node, subset", [(1 << 12, "auto"), (60, "2"), (1, "all")])
+def test_scored_as_by_the_loaded_model(spark, whole_node, subset):
+    """Rows scored where the pieces are get what MLlib's own model says, whatever they come with."""
+    est = RandomForestRegressor(numTrees=5, maxDepth=6 if whole_node == 1 else 20, seed=5, featureSubsetStrategy=subset)
+    rows = _rows(spark)
+    model = deep_forest.fit_deep(rows, est, whole_node)
+    odd = spark.createDataFrame([(-1, -1e9), (-2, float("nan")), (-3, 0.5), (-3, 0.5)], "id long, v double")
+    asked = rows.select("id", "features").unionByName(
+        odd.select("id", array_to_vector(F.array(*[F.col("v")] * 5)).alias("features")))
+    asked = asked.withColumn("map", F.create_map(F.lit("id"), F.col("id")))
+    ours = model.transform(asked)
+    assert ours.columns == ["id", "features", "map", "prediction"] and ours.count() == 604
+    theirs = model.loaded().transform(asked)
+    assert sorted((r.id, r.prediction) for r in ours.collect()) == sorted((r.id, r.prediction) for r in theirs.collect())
+    assert model.totalNumNodes == model.loaded().totalNumNodes and model.getNumTrees == model.loaded().getNumTrees
+    with pytest.raises(Exception, match="must not be null"):
+        model.transform(asked.withColumn("features", F.when(F.col("id") != 7, F.col("features")))).collect()
+
+
+def test_a_deep_forest_stays_out_of_the_driver(spark, monkeypatch):
+    """Fixed and grid path, refit, figures and facts of the model: none of them makes MLlib's model of all nodes."""
+    monkeypatch.setattr(deep_forest, "as_model", lambda *a: pytest.fail("the forest was loaded"))
+    rows = _rows(spark).select("id", "label", F.col("features").alias("v"))
+    for r in (train(Fixture(rows, "label", [], ["id"], "regression", vector="v"), ForestOptions(trees=t, depth=30, partitions=2),
+                    folds=2) for t in (3, [3, 1])):
+        assert r.metrics.first().r2 > 0.3 and r.test.count() > 0
+        assert forest_stage(r.final).numFeatures == 5 and forest_stage(r.model).getNumTrees == (r.best or {"numTrees": 3})["numTrees"]
+        plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (r.test, r.test.groupBy().count())]
+        assert ["MapInArrow" in p for p in plans] == [True, False]  # counting rows scores none
+        r.release()
+
+
+@pytest.mark.parametrize("min_rows", [1, 3])
+def test_search_in_order_and_by_histogram_agree(min_rows):
+    """Nodes of few rows, of two and of many are searched in three ways for the same split."""
+    rng = np.random.default_rng(3)
+    size = np.array([2] * 60 + list(range(3, 60)))
+    start = np.concatenate([[0], np.cumsum(size)])
+    bins, w = rng.integers(0, 9, (start[-1], 7)).astype(np.uint8), rng.integers(1, 4, start[-1]).astype(float)
+    bins[start[65]:start[66]] = 4
+    y = rng.normal(size=start[-1])
+    drawn = deep_forest.drawn_features(rng, len(size), 7, 3)
+    assert all(len(set(d)) == 3 and 0 <= min(d) and max(d) < 7 for d in drawn.tolist())
+    hist = np.stack([deep_forest.histogram(bins[i:j], w[i:j], w[i:j] * y[i:j], d, 9)
+                     for i, j, d in zip(start, start[1:], drawn)], axis=2)
+    gain, f, cut, n_left = deep_forest.best_splits(hist, min_rows)
+    for j in range(len(size)):
+        r, x = slice(start[j], start[j + 1]), bins[start[j]:start[j + 1]][:, drawn[j]]
+        sums = [(v @ (x <= b), v.sum()) for b in range(8) for v in (w[r], w[r] * y[r])]
+        with np.errstate(all="ignore"):
+            drops = [np.where((n >= min_rows) & (t - n >= min_rows), s * s / n + (u - s) ** 2 / (t - n) - u * u / t, 0)
+                     for (n, t), (s, u) in zip(sums[::2], sums[1::2])]
+        assert np.isclose(gain[j], np.max(drops)) and (not gain[j] or n_left[j] == w[r][x[:, f[j]] <= cut[j]].sum())
+    for i, j in ((60, 62), (60, 66), (66, 74), (70, 90), (60, 117)):
+        got = deep_forest.splits_of_few(bins, w, w * y, start[i:j], size[i:j], drawn[i:j], min_rows)
+        _agree(got, gain[i:j], f[i:j], cut[i:j])
+    _agree(deep_forest.splits_of_two(bins, w, y, start[:60], drawn[:60], min_rows), gain[:60], f[:60], cut[:60])
+
+
+def _agree(got, gain, f, cut):
+    assert np.allclose(got[0], gain)
+    # Of features that part a node alike, rounding says which is taken.
+    alike = (gain > 1e-9) & (got[1] == f)
+    assert alike.any() and (got[2] == cut)[alike].all()
+
+
+def test_a_task_gets_its_rows_once(spark):
+    """Nodes go to few tasks, each small enough, and a row that several trees of a task need is dealt to it once."""
+    small = [{1: 70.0}, {2: 30.0, 3: 40.0}, {}, {2: 10.0, 3: 60.0}]
+    nodes = [(t, p) for t, x in enumerate(small) for p in x]
+    for rows, least, width, most in ((100, 1, 1, 1), (100, 4, 1, 5), (1 << 20, 1, 1 << 20, 5)):
+        tasks = deep_forest.tasks_of(small, rows, least, width)
+        assert [(t, p) for x in tasks for t, paths in x.items() for p in paths] == nodes and 1 <= len(tasks) <= most
+    points = spark.createDataFrame([(i, float(i), bytes([i % 9]), bytes([i % 2, 1])) for i in range(50)], deep_forest.POINT)
+    chunks = deep_forest.dealt(points.coalesce(1), deep_forest.Top(2), [{0: [1], 1: [1]}], ("y", 8), True).collect()
+    assert [(r.task, r.n) for r in chunks] == [(0, 50)]
+    bins, y, bag = deep_forest.gathered([(r.n, r.data) for r in chunks], 1, 8, 2)
+    assert bins.ravel().tolist() == [i % 9 for i in range(50)] and y.view("<f8").ravel().tolist() == [float(i) for i in range(50)]
+    assert bag.tolist() == [[i % 2 for i in range(50)], [1] * 50]
