@@ -113,10 +113,15 @@ def feature_thresholds(rows: DataFrame, width: int, n_rows: int, n_bins: int, se
     return {r.feature: np.array(r.found) for r in got.collect() if r.found}
 
 
-def dense(vectors: pa.StructArray, width: int) -> Iterator[np.ndarray]:
-    """A column of MLlib's vectors as matrices of ``DENSE_ROWS`` rows at most."""
+def dense(vectors: pa.StructArray | pa.ListArray, width: int) -> Iterator[np.ndarray]:
+    """A column of MLlib's vectors, or of arrays, as matrices (of ``DENSE_ROWS`` rows at most)."""
     if vectors.null_count:
         raise ValueError("features must not be null")
+    if not pa.types.is_struct(vectors.type):
+        if (pc.list_value_length(vectors).to_numpy(zero_copy_only=False) != width).any():
+            raise ValueError(f"a row has not {width} features as others have")
+        yield vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        return
     for start in range(0, len(vectors), DENSE_ROWS):
         kind, size, at, values = vectors.slice(start, DENSE_ROWS).flatten()
         is_dense = kind.to_numpy() == 1
@@ -392,8 +397,11 @@ def level(points: DataFrame, top: Top, nodes: list[tuple[int, int]], width: int,
 
 # ---------------------------------------------------------------- small nodes: each in one group
 
-def grow(tree: int, root: int, bins, w, y, k: int, depth: int, min_rows: int, seed: int) -> dict:
-    """The nodes of the tree below ``root``, level by level: path, figures, gain, feature and bin."""
+def grow(tree: int, root: int, bins, w, y, k: int, depth: int, min_rows: int, seed: int, within=None) -> dict:
+    """The nodes of the tree below ``root``, breadth first: figures, gain, feature (-1: a leaf) and bin.
+
+    ``within``: what each line, standing for several rows with the mean label ``y``, has of the squared error itself;
+    labels are then taken less the mean of all rows."""
     rng = np.random.default_rng([seed, tree, root])
     width, n_bins = bins.shape[1], int(bins.max()) + 1 if bins.size else 1
     center = y.mean()
@@ -401,9 +409,10 @@ def grow(tree: int, root: int, bins, w, y, k: int, depth: int, min_rows: int, se
     for d in range(root.bit_length() - 1, depth + 1):
         order = np.argsort(node, kind="stable")
         bins, w, y, node = bins[order], w[order], y[order], node[order]
+        within = None if within is None else within[order]
         start = np.searchsorted(node, np.arange(n + 1))
         size, wy = np.diff(start), w * (y - center)
-        stats = np.stack([np.bincount(node, v, n) for v in (w, w * y, w * y * y)])
+        stats = np.stack([np.bincount(node, v, n) for v in (w, w * y, w * y * y if within is None else w * y * y + within)])
         spread = np.minimum.reduceat(y, start[:-1]) < np.maximum.reduceat(y, start[:-1])
         gain, feature, cut = np.zeros(n), np.full(n, -1), np.zeros(n, int)
         some = np.flatnonzero(spread & (stats[0] >= 2 * min_rows) & (d < depth))
@@ -418,6 +427,8 @@ def grow(tree: int, root: int, bins, w, y, k: int, depth: int, min_rows: int, se
                         for i, j, r in zip(start[part], start[part + 1], drawn)]
                 g, f, b, _ = best_splits(np.stack(hist, axis=2), min_rows)
             ok = enough(g, stats[:, part])
+            if within is not None:  # Sums of equal labels differ by rounding from cell to cell.
+                ok &= g > 1e-13 * stats[2, part]
             gain[part[ok]], cut[part[ok]] = g[ok], b[ok]
             feature[part[ok]] = drawn[np.flatnonzero(ok), f[ok]]
         found.append((stats, gain, feature, cut))
@@ -427,6 +438,7 @@ def grow(tree: int, root: int, bins, w, y, k: int, depth: int, min_rows: int, se
         rank = np.cumsum(split) - 1
         keep = split[node]
         bins, w, y, node = bins[keep], w[keep], y[keep], node[keep]
+        within = None if within is None else within[keep]
         node = 2 * rank[node] + (bins[np.arange(len(node)), feature[node]] > cut[node])
         n = 2 * int(split.sum())
     return dict(zip(("stats", "gain", "feature", "cut"), (np.concatenate(v, axis=-1) for v in zip(*found))))
@@ -741,7 +753,7 @@ class StoredForest(RandomForestRegressionModel):
 def bare_model(spark: SparkSession, est: RandomForestRegressor, width: int) -> RandomForestRegressionModel:
     """A model of bare roots with the estimator's parameters."""
     rows = [(0.0, SparseVector(width, {}))] * 2
-    return est.fit(spark.createDataFrame(rows, [est.getLabelCol(), est.getFeaturesCol()]))
+    return est.fit(spark.createDataFrame(rows, [est.getLabelCol(), est.getFeaturesCol()]).coalesce(1))
 
 
 def as_model(nodes: DataFrame, path: str) -> RandomForestRegressionModel:
@@ -767,11 +779,16 @@ def as_model(nodes: DataFrame, path: str) -> RandomForestRegressionModel:
     return RandomForestRegressionModel.load(path)
 
 
+def labelled(df: DataFrame, est: RandomForestRegressor) -> DataFrame:
+    """Label and features as y and x; a row without a label is an error."""
+    label = F.col(est.getLabelCol())
+    y = F.when(label.isNull() | F.isnan(label), F.raise_error(F.lit("labels must not be null or NaN"))).otherwise(label)
+    return df.select(y.cast("double").alias("y"), F.col(est.getFeaturesCol()).alias("x"))
+
+
 def fit_deep(df: DataFrame, est: RandomForestRegressor, whole_node: int | None = None) -> StoredForest:
     """``est`` fitted on ``df`` (its label and features columns)."""
-    spark, label = df.sparkSession, F.col(est.getLabelCol())
-    y = F.when(label.isNull() | F.isnan(label), F.raise_error(F.lit("labels must not be null or NaN"))).otherwise(label)
-    rows = df.select(y.cast("double").alias("y"), F.col(est.getFeaturesCol()).alias("x"))
+    spark, rows = df.sparkSession, labelled(df, est)
     size, first = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean")).first(), rows.select("x").first()
     if size.n == 0:
         raise ValueError("a forest needs at least one row")

@@ -2,7 +2,8 @@
 
 Tree induction is MLlib's: level-wise histogram aggregation across the cluster,
 one pass over the cached training points per group of nodes; deep regression
-forests are grown by ``deep_forest`` into MLlib's model.  This module
+forests are grown by ``deep_forest``, shallow ones on few features by ``cell_forest``,
+into MLlib's model.  This module
 wires the pieces: label preparation, row identity and layout, keyed split, one
 estimator for everything that is learned, the fold loop and the metric aggregates.
 """
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.util import inheritable_thread_target
 
 from grove.functions.hashing import is_test
-from grove.operators import deep_forest, metrics
+from grove.operators import cell_forest, deep_forest, metrics
 from grove.operators.dataset import Fixture
 from grove.operators.features import strongest, vector_chi_squared
 from grove.operators.identity import ROW_KEY, canonical_layout, layout_partitions, with_row_key
@@ -230,9 +231,13 @@ class ForestLearner(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         stages += _feature_stages(fx, opts, indexed)
         width = opts.top_features or _n_features(fx, df)
         forest = _forest(fx.task, opts, width, weight)
-        if fx.task == "regression" and opts.depth > SHALLOW and not opts.max_categories and deep_forest.fits(forest):
+        if fx.task == "regression" and not opts.max_categories and deep_forest.fits(forest) and (
+                opts.depth > SHALLOW or cell_forest.may_fit(forest, width)):
             ready = Pipeline(stages=stages).fit(df)
-            return PipelineModel([*ready.stages, deep_forest.fit_deep(ready.transform(df), forest)])
+            fit = deep_forest.fit_deep if opts.depth > SHALLOW else cell_forest.fit_cells
+            model = fit(ready.transform(df), forest)
+            if model is not None:
+                return PipelineModel([*ready.stages, model])
         return Pipeline(stages=[*stages, forest, *decoder]).fit(df)
 
 
