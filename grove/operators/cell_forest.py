@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from grove.operators import deep_forest as deep
 from grove.session import scratch_path
 
-#: Combinations of bins at most.
-MAX_CELLS = 1 << 16
+#: Combinations of bins at most, and those of all trees together, which a task holds.
+MAX_CELLS, MAX_SUMS = 1 << 16, 1 << 21
 #: Rows of a partition that are bagged at once.
 ROWS_AT_ONCE = 1 << 16
 TABLE = "tree int, part int, sums binary"
@@ -101,7 +101,7 @@ def fit_cells(df: DataFrame, est: RandomForestRegressor) -> RandomForestRegressi
     seed, center = est.getSeed() & (2 ** 63 - 1), size.mean
     cuts = deep.feature_thresholds(rows, width, size.n, est.getMaxBins(), seed)
     shape = [len(cuts.get(f, ())) + 1 for f in range(width)]
-    if math.prod(shape) > MAX_CELLS:
+    if math.prod(shape) > MAX_CELLS or trees * math.prod(shape) > MAX_SUMS:
         return None
     k = deep.subset_size(est.getFeatureSubsetStrategy(), width, trees)
 

@@ -40,8 +40,9 @@ def test_bags_and_equal_labels(spark):
         cell_forest.fit_cells(rows.withColumn("label", F.when(F.col("id") != 5, F.col("label"))), est)
 
 
-def test_many_cells_are_left_to_mllib(spark, monkeypatch):
-    monkeypatch.setattr(cell_forest, "MAX_CELLS", 100)
+@pytest.mark.parametrize("limit", ["MAX_CELLS", "MAX_SUMS"])
+def test_many_cells_are_left_to_mllib(spark, monkeypatch, limit):
+    monkeypatch.setattr(cell_forest, limit, 100)
     assert cell_forest.fit_cells(_rows(spark), RandomForestRegressor(numTrees=2, maxDepth=3)) is None
 
 
